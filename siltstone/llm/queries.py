@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from .decontamination import op1_decontamination
+from .licenses import op2_license_scan
 from .packing import op4_packing
 from .sstable import op5_token_sst
+from .urls import op7_url_filter
+from .urls import oracle as url_oracle
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_license_scan": op2_license_scan,
     "op4_packing": op4_packing,
     "op5_token_sst": op5_token_sst,
+    "op7_url_filter": op7_url_filter,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_url_filter": url_oracle()}
