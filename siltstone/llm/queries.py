@@ -6,6 +6,7 @@ from .decontamination import op1_decontamination
 from .licenses import op2_license_scan
 from .packing import op4_packing
 from .sstable import op5_token_sst
+from .toxicity import op9_toxicity
 from .urls import op7_url_filter
 from .urls import oracle as url_oracle
 
@@ -15,5 +16,6 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_token_sst": op5_token_sst,
     "op7_url_filter": op7_url_filter,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {"op7_url_filter": url_oracle()}
