@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op1_decontamination
+from .hnsw import op8_embedding_dedup
 from .licenses import op2_license_scan
 from .packing import op4_packing
 from .sstable import op5_token_sst
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_token_sst": op5_token_sst,
     "op7_url_filter": op7_url_filter,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {"op7_url_filter": url_oracle()}
