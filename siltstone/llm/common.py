@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
+#: Edges of a forest that one task unites: 4 MB of them.
+ONE_TASK = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -130,7 +132,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         va.append(x.column(0).to_numpy())
         vb.append(x.column(1).to_numpy())
         size += x.num_rows
-        if size > 1 << 20:
+        if size > 1 << 21:
             yield out()
             va, vb, size = [], [], 0
     if size:
@@ -140,8 +142,9 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as (node, root): root is the smallest node.
 
-    Each task first shrinks its edges to a spanning forest; then large-star and
-    small-star steps alternate.  Each step is a grouped minimum, combined before
+    Each task first shrinks its edges to a spanning forest.  Up to ``ONE_TASK``
+    edges, counted, one task unites them; otherwise large-star and small-star
+    steps alternate.  Each step is a grouped minimum, combined before
     the shuffle, and a join that adaptive execution splits when a hub is hot.
     Nodes without an edge do not appear.  The edges of each round are written to
     the shared folder, so a lost executor costs one round at most.
@@ -149,6 +152,9 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     e = edges.select("a", "b").where("a <> b").mapInArrow(_forests, "a long, b long").distinct()
     e = written(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "cc")
+    if e.count() <= ONE_TASK:
+        whole = e.coalesce(1).mapInArrow(_forests, "a long, b long")
+        return whole.select(F.col("a").alias("node"), F.col("b").alias("root"))
     seen = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

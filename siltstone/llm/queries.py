@@ -6,6 +6,7 @@ from .decontamination import op1_decontamination
 from .hnsw import op8_embedding_dedup
 from .licenses import op2_license_scan
 from .packing import op4_packing
+from .partenum import op6_jaccard_join
 from .sstable import op5_token_sst
 from .toxicity import op9_toxicity
 from .urls import op7_url_filter
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op4_packing": op4_packing,
     "op5_token_sst": op5_token_sst,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_url_filter": op7_url_filter,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_toxicity": op9_toxicity,
