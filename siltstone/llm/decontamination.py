@@ -20,7 +20,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import chunks, flat
 from .wordscan import ALNUM, Words, mix
@@ -136,6 +135,20 @@ def _search(seeds):
     return run
 
 
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Seeds]:
+    """The benchmark in blocks of bounded size, fetched one after the other."""
+    ids, texts, size, some = [], [], 0, False
+    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
+        ids.append(r.item_id)
+        texts.append(r.text)
+        size += len(r.text) // 4 + 1
+        if size > block_words:
+            yield Seeds(ids, texts)
+            ids, texts, size, some = [], [], 0, True
+    if ids or not some:
+        yield Seeds(ids, texts)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Verified overlaps: a row for each document and benchmark item that it holds, with the best overlap.
 
@@ -145,26 +158,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
     texts and items hold nothing; repeated rows and items are reported each;
     null ids stay null; empty tables give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    found = []
-    ids, texts, size = [], [], 0
-
-    def block() -> None:
-        seeds = spark.sparkContext.broadcast(Seeds(list(ids), list(texts)))
-        found.append(docs.select("doc_id", "text").mapInArrow(_search(seeds), COLUMNS))
-        ids.clear()
-        texts.clear()
-
-    for r in benchmark.select(F.col(benchmark.columns[0]).alias("i") if "item_id" not in benchmark.columns else F.col("item_id").alias("i"), "text").where("text is not null").toLocalIterator():
-        ids.append(r.i)
-        texts.append(r.text)
-        size += len(r.text) // 4 + 1
-        if size > block_words:
-            block()
-            size = 0
-    if ids or not found:
-        block()
-    return reduce(DataFrame.union, found)
+    share = docs.sparkSession.sparkContext.broadcast
+    return reduce(DataFrame.union, (docs.select("doc_id", "text").mapInArrow(_search(share(s)), COLUMNS) for s in blocks(benchmark, block_words)))
+
+
+def _clean(seeds):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = seeds.value
+        for part, buf, off in chunks(batches, "text"):
+            words, bad = Words(buf, off, ALNUM), np.zeros(part.num_rows, bool)
+            for doc, item, diagonal in s.find(words):
+                if not bad[doc] and verified(words, s, doc, item, diagonal):
+                    bad[doc] = True
+            yield part.filter(pa.array(~bad))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark passage, in their own columns, without a shuffle."""
+    share = docs.sparkSession.sparkContext.broadcast
+    for s in blocks(benchmark, block_words):
+        docs = docs.mapInArrow(_clean(share(s)), docs.schema)
+    return docs
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, components, flat, partitions, written
@@ -479,13 +479,15 @@ def _meet_bucket(t: pa.Table) -> pa.Table:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: the row whose id names it; of repeated rows the first by text."""
-    from pyspark.sql import Window
+    """One document of each component: that whose id names it; of rows that repeat the id, one.
 
-    lead = join(docs).where("doc_id = component_id or doc_id is null or n_shingles = 0").select("doc_id").distinct()
-    out = docs.join(lead, docs.doc_id.eqNullSafe(lead.doc_id), "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns]))
-    return out.withColumn("_n", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(w))).where("_n = 1").select(*docs.columns)
+    Rows with a null id all stay: no id names them.
+    """
+    lead = join(docs).where("doc_id = coalesce(component_id, doc_id)").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(lead, "doc_id", "left_semi").select(*docs.columns)
+    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    one = named.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*docs.columns)
+    return one.union(docs.where("doc_id is null"))
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
