@@ -389,7 +389,7 @@ def _crowds(crowd: DataFrame, comp: DataFrame, sets: DataFrame, docs: DataFrame)
     """
     spark = docs.sparkSession
     lead = crowd.groupBy("sig").agg(F.min("key").alias("a"))
-    tied = written(components(crowd.join(lead, "sig").select("a", F.col("key").alias("b"))), "partenum-crowds")
+    tied = written(components(crowd.join(lead, "sig").select("a", F.col("key").alias("b")).where("a <> b").distinct()), "partenum-crowds")
     keys = crowd.select("key").distinct().join(tied.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("crowd"))
     keys = keys.join(comp.select(F.col("node").alias("key"), F.col("root").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     keys = keys.join(sets.select("key", "n", F.col("rep").alias("doc_id")), "key")
