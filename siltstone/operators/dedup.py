@@ -92,9 +92,9 @@ def minhash(hashes: Column, n: int = PERMUTATIONS, seed: int = SEED) -> Column:
 
 
 def band_rows(signed: DataFrame, key: list[str], bands: int, rows: int, signature: str = "signature") -> DataFrame:
-    """A row for each band: key, band and bucket."""
+    """A row for each band: key, band and bucket.  Sets without shingles have no signature: leave them out before."""
     cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice(signature, i * rows + 1, rows)))
-    return signed.where(F.col(signature).isNotNull()).select(*key, F.posexplode(cut).alias("band", "bucket"))
+    return signed.select(*key, F.posexplode(cut).alias("band", "bucket"))
 
 
 def lsh_pairs(signed: DataFrame, bands: int, rows: int, cap: int | None = BUCKET_CAP) -> DataFrame:

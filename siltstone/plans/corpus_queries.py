@@ -144,7 +144,7 @@ def _shingled(s, d):
 
 
 def _hashed(s, d):
-    return _shingled(s, d).withColumn("signature", D.minhash(D.shingle_hashes(F.col("s"))))
+    return _shingled(s, d).where(F.size("s") > 0).withColumn("signature", D.minhash(D.shingle_hashes(F.col("s"))))
 
 
 def _pairs(s, d, t=0.75):
@@ -155,9 +155,6 @@ SQL_SHINGLES = SQL_INDEX + f", w AS (SELECT record_id AS key, content_type, {sql
 SQL_PAIRS = SQL_SHINGLES + """, inv AS (SELECT key, len(s) AS n, unnest(s) AS g FROM sh), c AS (SELECT x.key AS a, y.key AS b, count(*) AS m, any_value(x.n) AS na, any_value(y.n) AS nb FROM inv x JOIN inv y ON x.g = y.g AND x.key < y.key GROUP BY ALL),
 p AS (SELECT a, b, m / (na + nb - m) AS jaccard FROM c)"""
 add("shingle_counts", lambda s, d: _shingled(s, d).select("key", F.size("s").cast("long").alias("n")), SQL_SHINGLES + " SELECT key, len(s) AS n FROM sh")
-add("jaccard_pairs_count", lambda s, d: D.near_clusters(_pairs(s, d), 0.75).groupBy("root").agg(F.count("*").alias("members")),
-    SQL_PAIRS.replace("WITH i AS", "WITH RECURSIVE i AS") + """, e AS (SELECT a, b FROM p WHERE jaccard >= 0.75 UNION SELECT b, a FROM p WHERE jaccard >= 0.75),
-r(node, reach) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a), m AS (SELECT node, min(reach) AS root FROM r GROUP BY ALL) SELECT root, count(*) AS members FROM m WHERE node <> root GROUP BY ALL""")
 add("near_clusters", lambda s, d: D.near_clusters(_pairs(s, d), 0.75),
     SQL_PAIRS.replace("WITH i AS", "WITH RECURSIVE i AS") + """, e AS (SELECT a, b FROM p WHERE jaccard >= 0.75 UNION SELECT b, a FROM p WHERE jaccard >= 0.75),
 r(node, reach) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a), m AS (SELECT node, min(reach) AS root FROM r GROUP BY ALL) SELECT node, root FROM m WHERE node <> root""")
@@ -177,16 +174,16 @@ coalesce(rep, root, record_id) AS representative_id, coalesce(rep, root, record_
 
 
 def _sweep(s, d):
-    p = _pairs(s, d, 0.5)
+    p = _pairs(s, d, 0.6)
     n = table(s, d, "documents").select("doc_id", "n_chars")
     lab = p.join(n.toDF("a", "x"), "a").join(n.toDF("b", "y"), "b").select("a", "b", (F.abs(F.col("x") - F.col("y")) <= 20).cast("int").alias("label"))
     return D.sweep(p, lab, [0.6, 0.7, 0.75, 0.8, 0.9])
 
 
-add("threshold_sweep", _sweep, SQL_PAIRS + """, l AS (SELECT p.*, abs(x.n_chars - y.n_chars) <= 20 AS y FROM p JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE jaccard >= 0.5),
+add("threshold_sweep", _sweep, SQL_PAIRS + """, l AS (SELECT p.*, abs(x.n_chars - y.n_chars) <= 20 AS y FROM p JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE jaccard >= 0.6),
 t AS (SELECT unnest([0.6, 0.7, 0.75, 0.8, 0.9])::DOUBLE AS threshold), g AS (SELECT threshold, count_if(jaccard >= threshold AND y) AS tp, count_if(jaccard >= threshold AND NOT y) AS fp, count_if(jaccard < threshold AND y) AS fn FROM l, t GROUP BY ALL)
 SELECT threshold, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall FROM g""")
-add("minhash_signatures", lambda s, d: _hashed(s, d).where("signature is not null").select("key", F.sha2(F.array_join(F.transform("signature", lambda x: x.cast("string")), ","), 256).alias("sha")))
+add("minhash_signatures", lambda s, d: _hashed(s, d).select("key", F.sha2(F.array_join(F.transform("signature", lambda x: x.cast("string")), ","), 256).alias("sha")))
 
 
 def _lsh(s, d):
@@ -216,7 +213,7 @@ for _n in (8, 13):
 SQL_NEAREST = f"""ws AS (SELECT doc_id, {sql_words('text')} AS w FROM documents), sd AS (SELECT doc_id, list_distinct({sql_grams('w', 5, 8)}) AS s FROM ws),
 wb AS (SELECT item_id, {sql_words('text')} AS w FROM benchmark), sb AS (SELECT item_id, list_distinct({sql_grams('w', 5, 8)}) AS s FROM wb),
 id AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sd), ib AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM sb),
-jc AS (SELECT item_id, doc_id, count(*) / (any_value(ib.n) + any_value(id.n) - count(*)) AS j FROM ib JOIN id USING (g) GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id) <= 3000),
+jc AS (SELECT item_id, doc_id, count(*) / (any_value(ib.n) + any_value(id.n) - count(*)) AS j FROM ib JOIN id USING (g) GROUP BY item_id, doc_id QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id) <= 3000),
 nn AS (SELECT item_id, doc_id AS nearest, j AS jaccard FROM jc QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) = 1)"""
 _nearest = lambda s, d: N.nearest(_bench(s, d), _docs(s, d), "item_id", "doc_id", "text")
 add("nearest_train_doc", _nearest, f"WITH {SQL_NEAREST} SELECT item_id, nearest, coalesce(jaccard, 0.0) AS jaccard FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN nn USING (item_id)")
@@ -232,7 +229,7 @@ add("contamination_verdicts", _verdicts, f"WITH {_sql_cover(8)}, {_sql_cover(13)
 
 
 def _rank_sql(src: str, v: str, q: float, by: str = "") -> str:
-    return f"(SELECT {v} FROM (SELECT {v}, row_number() OVER (ORDER BY {v}) AS k, count(*) OVER () AS n FROM {src}) WHERE k = round_even({q} * (n - 1), 0) + 1)"
+    return f"(SELECT {v} FROM (SELECT {v}, row_number() OVER (ORDER BY {v}) AS k_, count(*) OVER () AS c_ FROM {src}) WHERE k_ = round_even({q} * (c_ - 1), 0) + 1)"
 
 
 def _quart(s, d):

@@ -60,7 +60,7 @@ def _excluded(s, d):
     return E.exclusions(o.withColumn("reason", reason), "l_returnflag", "reason")
 
 
-add("exclusion_matrix", _excluded, "SELECT l_returnflag, CASE WHEN l_quantity < 5 THEN 'too_few' WHEN l_discount > 0.08 THEN 'discounted' WHEN l_tax = 0 THEN 'untaxed' END AS reason, count(*) AS n FROM lineitem GROUP BY ALL HAVING reason IS NOT NULL")
+add("exclusion_matrix", _excluded, "SELECT l_returnflag, reason, count(*) AS n FROM (SELECT l_returnflag, CASE WHEN l_quantity < 5 THEN 'too_few' WHEN l_discount > 0.08 THEN 'discounted' WHEN l_tax = 0 THEN 'untaxed' END AS reason FROM lineitem) WHERE reason IS NOT NULL GROUP BY l_returnflag, reason")
 VERS = "('a','acme','box','1,2','text'),('b','','','','text'),('c','acme','n/a','1','text'),('d','acme','box','','text'),('e','acme','box','1','  ')"
 add_literal("extraction_reasons", VERS, "k, vendor, product, versions, descr", lambda t: t.withColumn("aff", F.when(F.col("vendor") != "", F.array(F.struct("vendor", "product", _set("versions").alias("versions"))))).select("k", F.coalesce(E.extraction_reason(F.col("aff"), F.col("descr")), F.lit("target")).alias("reason")),
     "SELECT k, CASE WHEN vendor = '' THEN 'no_product' WHEN lower(product) IN ('', 'n/a') THEN 'vendor_or_product_missing' WHEN versions = '' THEN 'no_versions' WHEN trim(descr) = '' THEN 'empty_description' ELSE 'target' END AS reason FROM t")
