@@ -43,7 +43,7 @@ K = 5
 CROWD = 24
 #: Sets of one chunk that share a signature before the chunk sends one of them to the bucket.
 LOCAL = 64
-CHUNK_SHINGLES = 1 << 21
+CHUNK_SHINGLES = 1 << 20
 SIG_BITS = 40
 
 
@@ -431,7 +431,7 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     null ids.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = buckets or partitions(spark)
+    buckets = buckets or 2 * partitions(spark)
     met = docs.select("doc_id", "text").mapInArrow(_emit(buckets), OUT).groupBy("bucket").applyInArrow(_meet_bucket, MET)
     met = written(met, "partenum-met")
     rows = met.where(F.col("kind") == DOC).select("doc_id", "n", "key")

@@ -38,8 +38,8 @@ from .anchors import LENGTH, Runs, windows_of
 from .common import chunks, flat, gathered, partitions, scratch_path, written
 from .sstable import opened
 
-CHUNK = 12 << 20
-SLICE = 2 << 20
+CHUNK = 8 << 20
+SLICE = 1 << 20
 #: Contexts of one beginning in a chunk before one stands for them all.
 LOCAL = 64
 #: Entries of one batch of the family.

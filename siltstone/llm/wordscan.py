@@ -40,7 +40,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash base's powers and its inverse's, at least ``n`` of them."""
-    return _powers(max(22, int(n).bit_length()))
+    return _powers(max(21, int(n).bit_length()))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
