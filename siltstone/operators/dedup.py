@@ -91,6 +91,30 @@ def minhash(hashes: Column, n: int = PERMUTATIONS, seed: int = SEED) -> Column:
     return sign(hashes)
 
 
+def with_signature(df: DataFrame, hashes: str, out: str = "signature", n: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
+    """Adds the signature as a column of its own, in Arrow batches, so that later expressions can be anything."""
+    import pyarrow as pa
+
+    a, b = coefficients(n, seed)
+    p, low = np.uint64((1 << 61) - 1), np.uint64(0xFFFFFFFF)
+
+    def run(batches):
+        for batch in batches:
+            i = batch.schema.get_field_index(hashes)
+            signed = []
+            for h in batch.column(i):
+                v = np.asarray(h.values.to_numpy(zero_copy_only=False) if h.is_valid else [], np.uint64)
+                x = np.full(n, 0xFFFFFFFF, np.uint64)
+                for j in range(0, len(v), 4096):
+                    x = np.minimum(x, (((v[j : j + 4096, None] * a + b) % p) & low).min(0))
+                signed.append(x.astype(np.int64) if len(v) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed, pa.list_(pa.int64()))], [*batch.schema.names, out])
+
+    from pyspark.sql.types import ArrayType, LongType, StructType
+
+    return df.mapInArrow(run, StructType(list(df.schema.fields)).add(out, ArrayType(LongType())))
+
+
 def band_rows(signed: DataFrame, key: list[str], bands: int, rows: int, signature: str = "signature") -> DataFrame:
     """A row for each band: key, band and bucket.  Sets without shingles have no signature: leave them out before."""
     cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice(signature, i * rows + 1, rows)))

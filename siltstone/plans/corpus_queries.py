@@ -144,7 +144,8 @@ def _shingled(s, d):
 
 
 def _hashed(s, d):
-    return _shingled(s, d).where(F.size("s") > 0).withColumn("signature", D.minhash(D.shingle_hashes(F.col("s"))))
+    x = _shingled(s, d).where(F.size("s") > 0).withColumn("h", D.shingle_hashes(F.col("s")))
+    return D.with_signature(x, "h")
 
 
 def _pairs(s, d, t=0.75):
@@ -180,7 +181,9 @@ def _sweep(s, d):
     return D.sweep(p, lab, [0.6, 0.7, 0.75, 0.8, 0.9])
 
 
-add("threshold_sweep", _sweep, SQL_PAIRS + """, l AS (SELECT p.*, abs(x.n_chars - y.n_chars) <= 20 AS y FROM p JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE jaccard >= 0.6),
+add("threshold_sweep", _sweep, SQL_SHINGLES + """, u AS (SELECT *, min(key) OVER (PARTITION BY list_sort(s)) AS rep FROM sh WHERE len(s) > 0), inv AS (SELECT key, len(s) AS n, unnest(s) AS g FROM u WHERE key = rep),
+c AS (SELECT x.key AS a, y.key AS b, count(*) AS m, any_value(x.n) AS na, any_value(y.n) AS nb FROM inv x JOIN inv y ON x.g = y.g AND x.key < y.key GROUP BY ALL), p AS (SELECT a, b, m / (na + nb - m) AS jaccard FROM c UNION ALL SELECT rep, key, 1.0 FROM u WHERE rep <> key),
+l AS (SELECT p.*, abs(x.n_chars - y.n_chars) <= 20 AS y FROM p JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE jaccard >= 0.6),
 t AS (SELECT unnest([0.6, 0.7, 0.75, 0.8, 0.9])::DOUBLE AS threshold), g AS (SELECT threshold, count_if(jaccard >= threshold AND y) AS tp, count_if(jaccard >= threshold AND NOT y) AS fp, count_if(jaccard < threshold AND y) AS fn FROM l, t GROUP BY ALL)
 SELECT threshold, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall FROM g""")
 add("minhash_signatures", lambda s, d: _hashed(s, d).select("key", F.sha2(F.array_join(F.transform("signature", lambda x: x.cast("string")), ","), 256).alias("sha")))

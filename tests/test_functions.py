@@ -34,7 +34,9 @@ def test_minhash(spark):
     a, b = dedup.coefficients()
     assert (int(a[0]), int(b[0])) == (1794328123696316346, 269438951231838751)
     df = spark.createDataFrame([("a b c d e f g h i j",)], "t string").select(T.shingles(T.words(F.col("t"))).alias("s"))
-    row = df.select(dedup.shingle_hashes(F.col("s")).alias("h")).withColumn("m", dedup.minhash(F.col("h"))).first()
+    hashed = df.select(dedup.shingle_hashes(F.col("s")).alias("h"))
+    row = hashed.withColumn("m", dedup.minhash(F.col("h"))).first()
+    assert list(dedup.with_signature(hashed, "h").first().signature) == list(row.m)
     assert sorted(row.h) == [133586912, 452888022, 471464587, 1554994353, 1741687579, 3064173959]
     assert list(row.m[:6]) == [1188311482, 432259323, 426089322, 53678414, 78275013, 1248638596]
     assert dedup.bands_rows(0.72) == (16, 8)
