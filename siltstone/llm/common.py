@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
+
+with contextlib.suppress(OSError, AttributeError):
+    # Worker processes live on between tasks.  With a fixed threshold (M_MMAP_THRESHOLD, -3) the C library maps every
+    # large array by itself and gives it back when it is freed, instead of keeping it in a heap that only grows.
+    ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
 #: Edges of a forest that one task unites: 4 MB of them.
 ONE_TASK = 1 << 18
 
@@ -81,6 +96,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             b = min(n, max(b, a + 1))
             yield batch.slice(a, b - a), buf[off[a] : off[b]], off[a : b + 1] - off[a]
             a = b
+    give_back()
 
 
 def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, components, flat, partitions, written
+from .common import chunks, components, flat, give_back, partitions, written
 from .wordscan import SPACED, Words, mix, shingles
 
 K = 5
@@ -475,7 +475,9 @@ def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 
 def _meet_bucket(t: pa.Table) -> pa.Table:
-    return _meet(t)
+    out = _meet(t)
+    give_back()
+    return out
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import LENGTH, Runs, windows_of
-from .common import chunks, flat, gathered, partitions, scratch_path, written
+from .common import flat, gathered, give_back, partitions, scratch_path, written
 from .sstable import opened
 
 CHUNK = 8 << 20
@@ -275,6 +275,7 @@ def _by_chunk(chunk, index, *flags) -> Iterator[tuple[int, bytes]]:
 
 def _suffix_bucket(t: pa.Table) -> pa.Table:
     """One bucket of suffixes: packed lists of covered and undecided runs, chunk by chunk."""
+    give_back()
     out, family, held, size = [], Family(), [], 0
 
     def push() -> None:
@@ -404,6 +405,7 @@ DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def _digests(t: pa.Table) -> pa.Table:
+    give_back()
     c, gone = _removed(t)
     n_removed, n_spans, sha = [], [], []
     for i in range(len(c.off) - 1):
@@ -418,6 +420,7 @@ def _digests(t: pa.Table) -> pa.Table:
 
 def _cut(names: list[str]):
     def run(t: pa.Table) -> pa.Table:
+        give_back()
         c, gone = _removed(t)
         lead = (c.buf & 0xC0) != 0x80  # a character goes when all its bytes go
         whole = np.flatnonzero(lead)
