@@ -3,9 +3,10 @@
 A mask is a pattern of compared and ignored word positions.  Hashes of the
 compared words at every position of the benchmark texts are looked up at every
 position of every document, so a passage is hit although words at ignored
-positions were replaced.  Around each hit the passage is aligned with the item
-word by word, and the best-scoring stretch is kept if it is long enough and
-enough of its words agree.
+positions were replaced.  The masks are lossless: any stretch of enough words
+with enough of them equal holds a seed of one mask at least.  Around each hit
+the words are compared first, and where a stretch passes, the text is aligned
+with the item word by word and the best of its long enough stretches is kept.
 
 The benchmark is cut into blocks of bounded size; a block's hashes are shipped
 to all tasks, and documents are scanned once for each block.  Documents are
@@ -24,10 +25,20 @@ from pyspark.sql import DataFrame
 from .common import chunks, flat
 from .wordscan import ALNUM, Words, mix
 
-#: Masks of eight compared words; ``1`` is compared.
-MASKS = ["11111111", "1101101110101", "1110010110010111", "110100110010101011"]
+#: Masks of five compared words; ``1`` is compared.  One of them meets every stretch of 13 words or more
+#: with 75 % equal: such a stretch can be cut to one of at most ``REACH`` words, and those were enumerated.
+MASKS = ["111011", "1100001011", "1100010000011"]
+#: The same for whole items of fewer words.
+SHORT_MASKS = {
+    1: ["1"], 2: ["11"], 3: ["111"], 4: ["111", "1101", "1011"], 5: ["111", "1101"], 6: ["1111", "11011"], 7: ["11111", "111011", "110111"],
+    8: ["11011", "1111", "1100011"], 9: ["11101", "100111"], 10: ["111011", "11010011", "11111"], 11: ["1101011", "1110011"], 12: ["11101", "10111"],
+}
 #: Words that a verified overlap spans at least (or the whole item, if shorter), and the share that agrees.
 MIN_SPAN, MIN_IDENTITY, PENALTY = 13, 0.75, 3
+#: A stretch of twice ``MIN_SPAN`` words has a half that passes, so a shortest one is below that.
+REACH = 2 * MIN_SPAN - 1
+#: Hits of one diagonal are looked at together over so many words, and so many places at a time.
+STEP, PLACES = 16, 1 << 13
 #: Benchmark words in one block.
 BLOCK_WORDS = 1 << 20
 
@@ -53,16 +64,18 @@ class Seeds:
         buf, off = flat(pa.array(texts, pa.string()))
         w = Words(buf, off, ALNUM)
         self.ids, self.hash, self.first = ids, w.hash, w.first
-        lengths = np.diff(w.first)
-        short = sorted({int(n) for n in lengths if 0 < n < max(map(len, masks))})
+        self.least = np.minimum(np.diff(w.first), MIN_SPAN)
         doc = w.doc()
+        filed: dict[str, list[int]] = {m: [MIN_SPAN] for m in masks}
+        for n in np.unique(self.least[(self.least > 0) & (self.least < MIN_SPAN)]).tolist():
+            for m in SHORT_MASKS[n]:
+                filed.setdefault(m, []).append(n)
         self.masks, self.tables = [], []
-        for mask in [*masks, *("1" * n for n in short)]:
+        for mask, sizes in filed.items():
             h = _seeds(w.hash, mask)
             at = np.arange(len(h))
             at = at[doc[at] == doc[at + len(mask) - 1]] if len(h) else at
-            if mask not in masks:  # whole items that are shorter than some mask
-                at = at[(lengths[doc[at]] == len(mask))]
+            at = at[np.isin(self.least[doc[at]], sizes)]
             order = np.argsort(h[at], kind="stable")
             key, pos = h[at][order], at[order]
             bits = np.zeros(1 << 22, bool)
@@ -72,7 +85,7 @@ class Seeds:
                 self.tables.append((key, pos, np.packbits(bits)))
 
     def find(self, words: Words) -> Iterator[tuple[int, int, int]]:
-        """(text number, item number, diagonal) of all hits, each once: word i of the text against word i - diagonal of the item."""
+        """(text number, item number, diagonal) where a stretch passes, each once: word i of the text against word i - diagonal of the item."""
         doc = words.doc()
         got = []
         for mask, (key, pos, bits) in zip(self.masks, self.tables):
@@ -83,22 +96,55 @@ class Seeds:
             maybe = np.flatnonzero(bits[top >> 3] >> (7 - (top & 7)).astype(np.uint8) & 1)
             maybe = maybe[doc[maybe] == doc[maybe + len(mask) - 1]]
             lo, hi = np.searchsorted(key, h[maybe], "left"), np.searchsorted(key, h[maybe], "right")
-            n = hi - lo
-            at = np.repeat(maybe, n)
-            q = pos[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(n) else np.zeros(0, np.int64)
-            item = np.searchsorted(self.first, q, "right") - 1
-            got.append(np.stack([doc[at], item, at - words.first[doc[at]] - (q - self.first[item])], 1))
+            maybe, lo, n = maybe[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            ends = np.cumsum(n)
+            # common words bring many places: a bounded number is compared at a time
+            cut = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(PLACES, ends[-1], PLACES), "right"), [len(n)]])) if len(n) else [0]
+            for a, b in zip(cut, cut[1:]):
+                k = n[a:b]
+                at = np.repeat(maybe[a:b], k)
+                q = pos[np.repeat(lo[a:b] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+                got.append(self._passing(words, doc, at, q))
         if got:
             yield from map(tuple, np.unique(np.concatenate(got), axis=0).tolist())
 
-
-def best_overlap(agree: np.ndarray, penalty: int = PENALTY) -> tuple[int, int]:
-    """The stretch [a, b) of the aligned words with the best score: 1 for a word that agrees, -penalty otherwise; the first of equals."""
+    def _passing(self, words: Words, doc: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The hits (word of a text, word of an item) with a passing stretch near them, as (text, item, diagonal)."""
+        item = np.searchsorted(self.first, q, "right") - 1
+        d, shift, block = doc[at], at - q, at // STEP
+        order = np.lexsort((block, shift, item, d))
+        d, item, shift, block = d[order], item[order], shift[order], block[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (block[1:] != block[:-1])
+        d, item, shift, block = d[new], item[new], shift[new], block[new]
+        ok = np.zeros(len(d), bool)
+        for a in range(0, len(d), PLACES):
+            s = slice(a, a + PLACES)
+            lo = np.maximum(words.first[d[s]], self.first[item[s]] + shift[s])
+            hi = np.minimum(words.first[d[s] + 1], self.first[item[s] + 1] + shift[s])
+            p = (block[s] * STEP - REACH + 1)[:, None] + np.arange(STEP + 2 * REACH - 2)
+            inside = (p >= lo[:, None]) & (p < hi[:, None])
+            p = np.clip(p, lo[:, None], hi[:, None] - 1)
+            agree = words.hash[p] == self.hash[p - shift[s][:, None]]
+            score = np.zeros((len(p), p.shape[1] + 1), np.int32)
+            np.cumsum(np.where(inside, np.where(agree, 1, -PENALTY), -1 << 16), axis=1, out=score[:, 1:])
+            low = np.minimum.accumulate(score, axis=1)
+            for m in np.unique(self.least[item[s]]):
+                x = self.least[item[s]] == m
+                ok[a + np.flatnonzero(x)] = (score[x, m:] >= low[x, : score.shape[1] - m]).any(1)
+        d, item, shift = d[ok], item[ok], shift[ok]
+        return np.stack([d, item, shift - words.first[d] + self.first[item]], 1)
+
+
+def best_overlap(agree: np.ndarray, penalty: int = PENALTY, least: int = 0) -> tuple[int, int]:
+    """The stretch [a, b) of ``least`` aligned words or more with the best score: 1 for a word that agrees, -penalty otherwise; the first of equals."""
+    if len(agree) < least:
+        return 0, 0
     s = np.concatenate([[0], np.cumsum(np.where(agree, 1, -penalty))])
-    low = np.minimum.accumulate(s)
-    b = int(np.argmax(s - low))
-    a = int(np.flatnonzero(s[: b + 1] == low[b])[0]) if b else 0
-    return a, b
+    low = np.minimum.accumulate(s[: len(s) - least])
+    b = int(np.argmax(s[least:] - low))
+    a = int(np.flatnonzero(s[: b + 1] == low[b])[0])
+    return a, b + least
 
 
 def verified(words: Words, seeds: Seeds, doc: int, item: int, diagonal: int) -> tuple | None:
@@ -107,7 +153,7 @@ def verified(words: Words, seeds: Seeds, doc: int, item: int, diagonal: int) ->
     c, d = int(seeds.first[item]), int(seeds.first[item + 1])
     lo, hi = max(0, -diagonal), min(d - c, b - a - diagonal)
     agree = words.hash[a + diagonal + lo : a + diagonal + hi] == seeds.hash[c + lo : c + hi]
-    x, y = best_overlap(agree)
+    x, y = best_overlap(agree, least=min(MIN_SPAN, d - c))
     span, matched = y - x, int(agree[x:y].sum())
     if span < min(MIN_SPAN, d - c) or matched < MIN_IDENTITY * span:
         return None
@@ -154,7 +200,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
 
     Words are lower-cased runs of digits, letters and non-ASCII characters.  An
     overlap spans ``MIN_SPAN`` words, or the whole item where that is shorter,
-    and ``MIN_IDENTITY`` of its words agree at their places.  Null or empty
+    and ``MIN_IDENTITY`` of its words agree at their places; any such stretch
+    counts, and the best-scoring one is reported.  Null or empty
     texts and items hold nothing; repeated rows and items are reported each;
     null ids stay null; empty tables give no rows; other columns are ignored.
     """

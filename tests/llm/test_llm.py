@@ -119,6 +119,55 @@ def test_decontamination(spark):
     assert decontamination.leaks(docs.limit(0), bench).count() == 0
 
 
+def stretch_passes(a, b):
+    """Whether any stretch of 13 words of b (or all of them) has 75 % at its places in a."""
+    least = min(13, len(b))
+    for diagonal in range(-len(b), len(a)):
+        lo, hi = max(0, -diagonal), min(len(b), len(a) - diagonal)
+        same = [0]
+        for j in range(lo, hi):
+            same.append(same[-1] + (a[diagonal + j] == b[j]))
+        for x in range(hi - lo):
+            for y in range(x + least, hi - lo + 1):
+                if 4 * (same[y] - same[x]) >= 3 * (y - x):
+                    return True
+    return False
+
+
+def test_decontamination_finds_every_stretch():
+    r = random.Random(8)
+    v = [f"v{i}" for i in range(3000)]
+    items = [[r.choice(v) for _ in range(n)] for n in [*range(1, 13), *range(13, 30), 40, 40]]
+    texts = [["v1"] * 3 + items[13][:12] + ["no"] + items[13][13:14], items[11][:9] + ["no"] * 3]
+    for k in range(400):
+        item = items[k % len(items)]
+        a = r.randint(0, max(0, len(item) - 13))
+        part = item[a : a + max(13, r.choice([13, 14, 15, 16, 20, 24, 40]))]
+        gone = set(r.sample(range(len(part)), min(len(part), len(part) // 4 + r.choice([0, 0, 0, 1]))))
+        texts.append([r.choice(v) for _ in range(r.randint(0, 5))] + ["no" if i in gone else w for i, w in enumerate(part)] + [r.choice(v) for _ in range(r.randint(0, 5))])
+    seeds = decontamination.Seeds(list(range(len(items))), [" ".join(x) for x in items])
+    words = Words(*common.flat(pa.array([" ".join(t) for t in texts])), ALNUM)
+    found = list(seeds.find(words))
+    got = {(d, i) for d, i, g in found if decontamination.verified(words, seeds, d, i, g)}
+    assert len(found) == len(set(found)) and got == {(d, i) for d, i, _ in found}
+    assert got == {(d, i) for d, t in enumerate(texts) for i, u in enumerate(items) if stretch_passes(t, u)}
+
+
+def test_masks_are_lossless():
+    from itertools import combinations
+
+    def met(masks, n):
+        placed = [sum(1 << i + s for i, c in enumerate(m) if c == "1") for m in masks for s in range(n - len(m) + 1)]
+        for lost in combinations(range(n), n // 4):
+            kept = (1 << n) - 1 - sum(1 << i for i in lost)
+            assert any(kept & p == p for p in placed), (n, lost)
+
+    for n, masks in decontamination.SHORT_MASKS.items():
+        met(masks, n)
+    for n in range(13, 26):
+        met(decontamination.MASKS, n)
+
+
 def test_licenses(spark):
     t = licenses.Template("x", "a [b|c d] <<2>> e")
     ok = lambda s: t.match(s.split()) == len(s.split())
