@@ -347,7 +347,7 @@ def _window_pass(buckets: int):
         need = np.setdiff1d(_merged([c.need, *(x[1] for x in lists)]), cover)
         doc, start, hashes = _window_table(c, need)
         ids, _ = _ids(c.table)
-        _, send = _local_windows(_window_key(hashes), ids[doc])
+        _, send = _local_windows(hashes, ids[doc])
         s = np.flatnonzero(send)
         out = [_row([(CHUNKED, chunk, chunk % buckets, path, pack_sets(cover, need))])]
         out += _dealt(chunk, path, _window_key(hashes[s]), hashes[s] & np.uint64(0xFFFFFFFFFF), ids[doc[s]], np.zeros(len(s), bool), s, buckets)
@@ -390,7 +390,7 @@ def _removed(t: pa.Table) -> tuple[Chunk, np.ndarray]:
     doc, start, hashes = _window_table(c, need)
     ids, _ = _ids(c.table)
     found = [unpack_sets(b)[0] for b, k in zip(payloads, kinds) if k == STATE]
-    covered, sent = _local_windows(_window_key(hashes), ids[doc])
+    covered, _ = _local_windows(hashes, ids[doc])
     # a window is covered by a smaller document of its chunk, or by one that its bucket found
     covered[_merged(found)] = True
     gone = np.zeros(len(c.buf) + 1, np.int32)

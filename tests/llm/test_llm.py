@@ -463,6 +463,25 @@ def test_suffix_dedup(spark, monkeypatch, local, chunk):
     assert got == brute_removed(texts)
 
 
+@pytest.mark.parametrize("low,equal", [(7, True), (8, False)])
+def test_windows_of_a_chunk_are_compared_by_all_bits(monkeypatch, low, equal):
+    class OneChunk:
+        first = last = np.array([0, 50])
+        at, cover, need = np.array([0, 1, 2]), np.zeros(0, np.int64), np.array([0, 1])
+        buf, off = np.frombuffer(b"a" * 50 + b"b" * 50, np.uint8), np.array([0, 50, 100])
+        table = pa.table({"doc_id": [1, 2]})
+
+    high = 5 << 24  # the upper 40 bits agree
+    monkeypatch.setattr(suffixes, "Chunk", lambda path: OneChunk())
+    monkeypatch.setattr(suffixes, "windows_of", lambda buf, first, last: (first, np.array([high + 7, high + low], np.uint64), np.array([1, 1])))
+    asked = suffixes._window_pass(1)(pa.Table.from_batches([suffixes._row([(suffixes.CHUNKED, 0, 0, "p", b"")])]))
+    sent = [suffixes.unpack(b, True)[4].tolist() for k, b in zip(asked.column("kind").to_pylist(), asked.column("payload").to_pylist()) if k == suffixes.SENT]
+    assert sent == ([[0]] if equal else [[0, 1]])
+    own = pa.Table.from_batches([b for b in asked.to_batches() if b.column(0)[0].as_py() == suffixes.CHUNKED])
+    _, gone = suffixes._removed(own)
+    assert gone.tolist() == [False] * 50 + [equal] * 50
+
+
 def test_suffix_cut_keeps_columns_and_characters(spark):
     p = "é" * 40
     rows = [(1, p + "a", "en", "s", 41), (2, "b" + p + "ñ", "de", "t", 42), (None, p, "x", "y", 40), (1, p, "r", "r", 40), (3, None, "n", "n", None)]
