@@ -3,7 +3,8 @@
 Every rule names the literal tokens that a fitting URL must hold.  How often
 each of them occurs is counted over all URLs (one small aggregate, bounded by
 the rules), and a rule is filed under its rarest one.  A URL's tokens fetch the
-rules filed under them, and only those rules' regular expressions run.
+rules filed under them, and only those rules' regular expressions run.  A rule
+whose pattern's branches hold different literals is filed once for each branch.
 
 Up to ``INLINE_RULES`` rules the index is a map literal in the plan and nothing
 is shuffled.  Beyond that, the distinct URLs' tokens are joined with the index
@@ -31,6 +32,8 @@ class Rule(NamedTuple):
     tokens: tuple[str, ...]
     on: str = "url"
     tier: int = 1
+    #: Literal tokens of further branches of the pattern that don't hold ``tokens``.
+    others: tuple[tuple[str, ...], ...] = ()
 
     @property
     def weight(self) -> int:
@@ -56,12 +59,12 @@ PATTERN_RULES = [
     Rule("spam-farm", "block", r"://(?:[^/?#]*[.-])?spam-farm[.-]", ("spam", "farm")),
     Rule("cheap-pills", "block", r"://(?:[^/?#]*[.-])?cheap-pills[.-]", ("cheap", "pills")),
     Rule("free-casino", "block", r"[./-](?:free-)?casino[./-]", ("casino",)),
-    Rule("adult-site", "block", r"://(?:[^/?#]*\.)?(?:xxx|porn)\.", ("porn",)),
+    Rule("adult-site", "block", r"://(?:[^/?#]*\.)?(?:xxx|porn)\.", ("porn",), others=(("xxx",),)),
     Rule("adult-domain", "block", r"://[^/?#]*\.xxx(?:[/:?#]|$)", ("xxx",)),
     Rule("session-link", "block", r"[?&;](?:php)?sessid=", ("sessid",)),
     Rule("php-session-link", "block", r"[?&;]phpsessid=", ("phpsessid",)),
     Rule("login-page", "block", r"/(?:wp-)?login(?:[./?#]|$)", ("login",)),
-    Rule("cart-page", "block", r"/(?:cart|checkout)/?(?:[?#]|$)", ("checkout",)),
+    Rule("cart-page", "block", r"/(?:cart|checkout)/?(?:[?#]|$)", ("checkout",), others=(("cart",),)),
 ]
 
 DEFAULT = "allow"
@@ -85,12 +88,13 @@ def url_tokens(url: Column) -> Column:
 
 def rarest(pages: DataFrame, rules: list[Rule]) -> dict[str, list[Rule]]:
     """The index: token to the rules filed under it.  Counts each literal token over all URLs."""
-    literals = sorted({t for r in rules for t in r.tokens})
+    literals = sorted({t for r in rules for b in (r.tokens, *r.others) for t in b})
     counted = pages.select(F.explode(F.array_intersect(url_tokens(F.col("url")), F.array(*map(F.lit, literals)))).alias("t")).groupBy("t").count()
     n = {r["t"]: r["count"] for r in counted.collect()}  # one row per literal token at most
     index: dict[str, list[Rule]] = {}
     for r in rules:
-        index.setdefault(min(r.tokens, key=lambda t: (n.get(t, 0), t)), []).append(r)
+        for t in sorted({min(b, key=lambda t: (n.get(t, 0), t)) for b in (r.tokens, *r.others)}):
+            index.setdefault(t, []).append(r)
     return index
 
 

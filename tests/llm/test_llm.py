@@ -362,6 +362,22 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_url_index_drops_no_branch(spark):
+    hosts = ["spam-farm.com", "a.spam-farm.com", "a-spam-farm-b.com", "cheap-pills.com", "x.cheap-pills-y.com", "xxx.example.com", "a.xxx.example.com", "porn.example.com", "a.porn.com", "a.xxx", "a.xxx:80", "free-casino.com", "casino.com", "a-casino-b.com"]
+    paths = ["cart", "cart?id=1", "cart/", "cart/#x", "checkout", "checkout/?a", "login", "login.php", "wp-login.php", "login?x", "wp-login", "?sessid=1", "?phpsessid=1", "a?b&sessid=2", "a;phpsessid=3", "carts", "logins", "cartx/checkouts"]
+    rows = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/1")] + [f"http://shop.example.com/{p}" for p in paths]
+    want = {}
+    for u in rows:
+        fits = [r for r in urls.PATTERN_RULES if re.search(r.pattern, u)]
+        best = max(fits, key=lambda r: (r.weight, r.name), default=None)
+        want[u] = (best.name, best.verdict) if best else (None, "allow")
+    hit = {r.name for u in rows for r in urls.PATTERN_RULES if re.search(r.pattern, u)}
+    assert hit == {r.name for r in urls.PATTERN_RULES} and want["http://shop.example.com/cart"][1] == want["http://xxx.example.com/en/1"][1] == "block"
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    for inline in (urls.INLINE_RULES, 0):
+        assert {r.url: (r.method_rule, r.verdict) for r in urls.judge(df, urls.PATTERN_RULES, inline).collect()} == want
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=(900, 16))
