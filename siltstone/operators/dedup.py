@@ -132,10 +132,11 @@ def lsh_pairs(signed: DataFrame, bands: int, rows: int, cap: int | None = BUCKET
 
 
 def similar_pairs(d: DataFrame, key: str, shingles: str, threshold: float) -> DataFrame:
-    """All pairs a < b with shingle Jaccard of at least ``threshold``: (a, b, jaccard), exactly.
+    """Pairs a < b with shingle Jaccard of at least ``threshold``: (a, b, jaccard), exact and whole up to equal sets.
 
-    Equal sets are folded into their least key first and come back as pairs with
-    it.  The rest meet by prefix: of a set's shingles, rarest first, the first
+    Equal sets are folded into their least key first and come back as pairs of 1
+    with it; a copy's pairs with other sets are those of its least key and
+    aren't repeated.  The rest meet by prefix: of a set's shingles, rarest first, the first
     n - ceil(t n) + 1 must hold one of any similar set's, so common passages
     bring no candidates.  Similarity is then measured on the sets.
     """
@@ -161,10 +162,15 @@ def near_clusters(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_decisions(nodes: DataFrame, clusters: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Decision rows of clustered nodes: the similarity is the measured one to the representative, or the threshold."""
+    """Decision rows of clustered nodes: the similarity is the measured one to the representative, or the threshold.
+
+    A copy has the similarity of the least key with its set, which ``pairs`` need not repeat for it.
+    """
     c = clusters.union(clusters.select("root", "root").distinct()).toDF("key", "representative").distinct()
-    p = pairs.select(F.col("a").alias("representative"), F.col("b").alias("key"), "jaccard")
-    out = nodes.join(c, "key").join(p, ["representative", "key"], "left")
+    p = pairs.select(F.col("a").alias("representative"), F.col("b").alias("_of"), "jaccard")
+    copies = pairs.where("jaccard = 1").groupBy(F.col("b").alias("key")).agg(F.min("a").alias("_least"))
+    out = nodes.join(c, "key").join(copies, "key", "left").withColumn("_of", F.coalesce("_least", "key"))
+    out = out.join(p, ["representative", "_of"], "left").withColumn("jaccard", F.when(F.col("_of") == F.col("representative"), 1.0).otherwise(F.col("jaccard")))
     lead = F.col("key") == F.col("representative")
     return out.select("key", "representative", F.concat(F.lit("near:"), F.substring(F.sha2(F.col("representative").cast("string"), 256), 1, 16)).alias("cluster_id"), F.when(lead, "representative").otherwise("member").alias("role"), F.when(lead, 1.0).otherwise(F.coalesce("jaccard", F.lit(threshold))).alias("similarity"))
 
