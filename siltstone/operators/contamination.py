@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-CANDIDATES = 3000
-
 
 def gram_rows(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """A row for each n-gram of each text: key, pos, gram."""
@@ -36,15 +34,14 @@ def coverage(evals: DataFrame, train: DataFrame, key: str, text: str, n: int) ->
     return out.select(key, F.coalesce("n_grams", zero).alias("n_grams"), F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce(F.try_divide("n_hit", "n_grams"), F.lit(0.0)).alias("coverage"), F.when(F.col("n_hit") > 0, F.col("first_hit")).alias("first_hit"))
 
 
-def nearest(evals: DataFrame, train: DataFrame, key: str, other: str, text: str, k: int = 5, cap: int = CANDIDATES) -> DataFrame:
-    """For each evaluation text the training text with the best shingle Jaccard among at most ``cap`` candidates by key; ties to the smaller key, null if nothing is shared."""
+def nearest(evals: DataFrame, train: DataFrame, key: str, other: str, text: str, k: int = 5) -> DataFrame:
+    """For each evaluation text the training text with the best shingle Jaccard; ties to the smaller key, null if nothing is shared."""
     e = evals.select(F.col(key), T.shingles(T.words(F.col(text)), k).alias("s"))
     t = train.select(F.col(other), T.shingles(T.words(F.col(text)), k).alias("s"))
     ei = e.select(key, F.size("s").alias("ne"), F.explode("s").alias("g"))
     ti = t.select(other, F.size("s").alias("nt"), F.explode("s").alias("g"))
     wanted = ei.select("g").distinct()
     p = ti.join(wanted, "g", "left_semi").join(ei, "g").groupBy(key, other).agg(F.count("*").alias("shared"), F.first("ne").alias("ne"), F.first("nt").alias("nt"))
-    p = p.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(other))).where(F.col("_n") <= cap)
     best = p.withColumn("jaccard", F.col("shared") / (F.col("ne") + F.col("nt") - F.col("shared"))).groupBy(key).agg(F.max(F.struct("jaccard", (-F.col(other)).alias("o"))).alias("b"))
     return evals.select(key).distinct().join(best, key, "left").select(key, (-F.col("b.o")).alias("nearest"), F.coalesce("b.jaccard", F.lit(0.0)).alias("jaccard"))
 

@@ -1,5 +1,6 @@
 """Near duplicates and nearest neighbours, where copies and crowds are."""
 
+from siltstone.operators import contamination as N
 from siltstone.operators import dedup as D
 
 
@@ -10,3 +11,12 @@ def test_copies_have_the_similarity_of_their_set(spark):
     p = D.similar_pairs(d, "key", "s", 0.75)
     got = {r.key: (r.representative, r.similarity) for r in D.near_decisions(d.select("key"), D.near_clusters(p, 0.75), p, 0.75).collect()}
     assert got == {1: (1, 1.0), 2: (1, 0.9), 3: (1, 0.9), 4: (1, 1.0), 5: (1, 0.95)}
+
+
+def test_nearest_is_found_behind_a_crowd(spark):
+    w = [f"w{i}" for i in range(20)]
+    crowd = [(i, " ".join(w[:5] + [f"d{i}_{j}" for j in range(5)])) for i in range(3001)]
+    docs = spark.createDataFrame([*crowd, (9000, " ".join(w))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(w)), (2, "none of these words are in any text")], "item_id long, text string")
+    got = {r.item_id: (r.nearest, r.jaccard) for r in N.nearest(items, docs, "item_id", "doc_id", "text").collect()}
+    assert got == {1: (9000, 1.0), 2: (None, 0.0)}
