@@ -1,26 +1,28 @@
 """URL filters: pattern rules indexed by their rarest literal token.  DataFrame functions only.
 
-Every rule names the literal tokens that a fitting URL must hold.  How often
-each of them occurs is counted over all URLs (one small aggregate, bounded by
-the rules), and a rule is filed under its rarest one.  A URL's tokens fetch the
-rules filed under them, and only those rules' regular expressions run.  A rule
-whose pattern's branches hold different literals is filed once for each branch.
-
-Up to ``INLINE_RULES`` rules the index is a map literal in the plan and nothing
-is shuffled.  Beyond that, the distinct URLs' tokens are joined with the index
-table and results are joined back by URL.
+The literal tokens that every fitting URL must hold are read off a rule's
+pattern, for each of its branches.  How often each token occurs is counted over
+all URLs, and a rule is filed, for each branch, under the rarest one; a branch
+without such a token is filed under the empty one, which every URL has.  URLs'
+tokens are joined with that index, only the rules so fetched run their regular
+expressions, and the best fitting rule is joined back by URL.
+
+The index is broadcast while its rules' text, which is measured, takes
+``BROADCAST_BYTES`` at most; beyond that the same joins shuffle.
 """
 
 from __future__ import annotations
 
 import re
+import re._parser as syntax
 import string
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-INLINE_RULES = 2000
+#: Size of the index's rules up to which it is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 class Rule(NamedTuple):
@@ -29,21 +31,64 @@ class Rule(NamedTuple):
     name: str
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
     on: str = "url"
     tier: int = 1
-    #: Literal tokens of further branches of the pattern that don't hold ``tokens``.
-    others: tuple[tuple[str, ...], ...] = ()
 
     @property
     def weight(self) -> int:
         return len(self.name)
 
 
+#: What a place of a pattern can hold beside a letter or digit: something that ends a token for certain, or anything.
+_END, _ANY = "end", "any"
+#: Ways through a pattern that are told apart; a part with more counts as anything.
+WAYS = 64
+
+
+def _ways(parsed) -> list[list[str]]:
+    """The ways through a parsed pattern, each a list of letters, digits, ends and unknowns."""
+    ways: list[list[str]] = [[]]
+    for op, arg in parsed:
+        if op is syntax.LITERAL:
+            c = chr(arg).lower()
+            step = [[c if re.fullmatch("[a-z0-9]", c) else _END]]
+        elif op is syntax.IN:
+            ends = all(o is syntax.LITERAL and not re.fullmatch("[A-Za-z0-9]", chr(x)) for o, x in arg)
+            step = [[_END if ends else _ANY]]
+        elif op is syntax.AT:
+            step = [[_END if arg in (syntax.AT_BEGINNING, syntax.AT_END) else _ANY]]
+        elif op is syntax.BRANCH:
+            step = [w for branch in arg[1] for w in _ways(branch)]
+        elif op is syntax.SUBPATTERN:
+            step = _ways(arg[-1])
+        elif op in (syntax.MAX_REPEAT, syntax.MIN_REPEAT):
+            least, most, inner = arg
+            step = ([[]] if least == 0 else []) + (_ways(inner) if most == 1 else [[_ANY]])
+        else:
+            step = [[_ANY]]
+        ways = [a + b for a in ways for b in (step if len(step) * len(ways) <= WAYS else [[_ANY]])]
+    return ways
+
+
+def literals(pattern: str) -> set[tuple[str, ...]]:
+    """For each branch of a pattern the whole tokens that all its matches hold."""
+    out = set()
+    for way in _ways(syntax.parse(pattern)):
+        tokens, run = set(), None  # run: letters since an end, or None after an unknown
+        for x in [*way, _ANY]:
+            if x == _END:
+                tokens |= {run} if run else set()
+                run = ""
+            else:
+                run = None if x == _ANY or run is None else run + x
+        out.add(tuple(sorted(tokens)))
+    return out
+
+
 def site_rule(host: str, path: str, verdict: str) -> Rule:
     """A host with all its subdomains, and a prefix of the path."""
     where = host + path
-    return Rule(where, verdict, "^(?:[^/]*\\.)?" + re.sub(r"([^A-Za-z0-9/])", r"\\\1", where), tuple(t for t in re.split("[^a-z0-9]+", host.lower()) if t), "site", 0)
+    return Rule(where, verdict, "^(?:[^/]*\\.)?" + re.sub(r"([^A-Za-z0-9/])", r"\\\1", where), "site", 0)
 
 
 #: The contract's site rules.
@@ -56,15 +101,15 @@ SITE_RULES = [
 
 #: Pattern rules for everything that no site rule decides.
 PATTERN_RULES = [
-    Rule("spam-farm", "block", r"://(?:[^/?#]*[.-])?spam-farm[.-]", ("spam", "farm")),
-    Rule("cheap-pills", "block", r"://(?:[^/?#]*[.-])?cheap-pills[.-]", ("cheap", "pills")),
-    Rule("free-casino", "block", r"[./-](?:free-)?casino[./-]", ("casino",)),
-    Rule("adult-site", "block", r"://(?:[^/?#]*\.)?(?:xxx|porn)\.", ("porn",), others=(("xxx",),)),
-    Rule("adult-domain", "block", r"://[^/?#]*\.xxx(?:[/:?#]|$)", ("xxx",)),
-    Rule("session-link", "block", r"[?&;](?:php)?sessid=", ("sessid",)),
-    Rule("php-session-link", "block", r"[?&;]phpsessid=", ("phpsessid",)),
-    Rule("login-page", "block", r"/(?:wp-)?login(?:[./?#]|$)", ("login",)),
-    Rule("cart-page", "block", r"/(?:cart|checkout)/?(?:[?#]|$)", ("checkout",), others=(("cart",),)),
+    Rule("spam-farm", "block", r"://(?:[^/?#]*[.-])?spam-farm[.-]"),
+    Rule("cheap-pills", "block", r"://(?:[^/?#]*[.-])?cheap-pills[.-]"),
+    Rule("free-casino", "block", r"[./-](?:free-)?casino[./-]"),
+    Rule("adult-site", "block", r"://(?:[^/?#]*\.)?(?:xxx|porn)\."),
+    Rule("adult-domain", "block", r"://[^/?#]*\.xxx(?:[/:?#]|$)"),
+    Rule("session-link", "block", r"[?&;](?:php)?sessid="),
+    Rule("php-session-link", "block", r"[?&;]phpsessid="),
+    Rule("login-page", "block", r"/(?:wp-)?login(?:[./?#]|$)"),
+    Rule("cart-page", "block", r"/(?:cart|checkout)/?(?:[?#]|$)"),
 ]
 
 DEFAULT = "allow"
@@ -86,65 +131,45 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.split(lower_ascii(F.coalesce(url, F.lit(""))), "[^a-z0-9]+"))
 
 
-def rarest(pages: DataFrame, rules: list[Rule]) -> dict[str, list[Rule]]:
-    """The index: token to the rules filed under it.  Counts each literal token over all URLs."""
-    literals = sorted({t for r in rules for b in (r.tokens, *r.others) for t in b})
-    counted = pages.select(F.explode(F.array_intersect(url_tokens(F.col("url")), F.array(*map(F.lit, literals)))).alias("t")).groupBy("t").count()
-    n = {r["t"]: r["count"] for r in counted.collect()}  # one row per literal token at most
-    index: dict[str, list[Rule]] = {}
-    for r in rules:
-        for t in sorted({min(b, key=lambda t: (n.get(t, 0), t)) for b in (r.tokens, *r.others)}):
-            index.setdefault(t, []).append(r)
-    return index
-
-
-_RULE = "array<struct<name:string,verdict:string,pattern:string,site:boolean,tier:int,weight:int>>"
-
-
-def _literal(rules: list[Rule]) -> Column:
-    return F.array(*(F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"), F.lit(r.on == "site").alias("site"), F.lit(r.tier).alias("tier"), F.lit(r.weight).alias("weight")) for r in rules))
+def _broadcast(df: DataFrame, size: int, most: int) -> DataFrame:
+    return F.broadcast(df) if size <= most else df.hint("shuffle_hash")
 
 
-def _decide(df: DataFrame) -> DataFrame:
-    """From candidate rules (``rules``) to the columns rule, verdict and method_rule."""
-    site, whole = F.concat("host", "path"), lower_ascii(F.coalesce("url", F.lit("")))
-    fits = F.filter("rules", lambda r: F.when(r["site"], F.regexp_like(site, r["pattern"])).otherwise(F.regexp_like(whole, r["pattern"])))
-    order = lambda x: F.struct(-x["tier"], x["weight"], x["name"])
-    best = F.aggregate(fits, F.lit(None).cast(_RULE[6:-1]), lambda a, x: F.when(a.isNull() | (order(x) > order(a)), x).otherwise(a))
-    df = df.withColumn("best", best)
-    return df.withColumns({
-        "rule": F.when(F.col("best.tier") == 0, F.col("best.name")),
-        "method_rule": F.when(F.col("best.tier") > 0, F.col("best.name")),
-        "verdict": F.coalesce("best.verdict", F.lit(DEFAULT)),
-    }).drop("best", "rules")
+def rarest(pages: DataFrame, rules: list[Rule], most: int = BROADCAST_BYTES) -> list[tuple[str, Rule]]:
+    """The index: (token, rule filed under it).  Counts each literal token over all URLs."""
+    branches = [(r, literals(r.pattern)) for r in rules]
+    words = sorted({t for _, b in branches for ts in b for t in ts})
+    n: dict[str, int] = {}
+    if words:
+        table = _broadcast(pages.sparkSession.createDataFrame([(w,) for w in words], "t string"), sum(map(len, words)), most)
+        met = pages.select(F.explode(url_tokens(F.col("url"))).alias("t")).join(table, "t")
+        n = {r["t"]: r["count"] for r in met.groupBy("t").count().collect()}  # one row for each literal of a rule at most
+    return sorted({(min(ts, key=lambda t: (n.get(t, 0), t), default=""), r) for r, b in branches for ts in b})
 
 
-def judge(pages: DataFrame, rules: list[Rule] | None = None, inline: int = INLINE_RULES) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, host, path, rule, verdict and method_rule of every page.
 
     ``rule`` is the deciding site rule; without one, ``method_rule`` is the
     deciding pattern rule, and without either the verdict is ``allow``.  Null
     and scheme-less URLs have an empty host and path and are judged by pattern
-    rules alone; repeated rows are judged each; empty tables give no rows;
-    other columns are ignored.
+    rules alone; repeated rows and rows without a page_id are judged each; empty
+    tables give no rows; other columns are ignored.
     """
     rules = [*SITE_RULES, *PATTERN_RULES] if rules is None else rules
-    index = rarest(pages, rules)
+    rows = [(t, r.name, r.verdict, r.pattern, r.on == "site", r.tier, r.weight) for t, r in rarest(pages, rules, most)]
+    filed = pages.sparkSession.createDataFrame(rows, "t string, name string, verdict string, pattern string, site boolean, tier int, weight int")
+    filed = _broadcast(filed, sum(len(x) for r in rows for x in r[:4]), most)
+    tokens = F.array_union(url_tokens(F.col("url")), F.array(F.lit("")))
+    met = address(pages.select("url")).select("url", "host", "path", F.explode(tokens).alias("t")).join(filed, "t")
+    fits = F.when(F.col("site"), F.regexp_like(F.concat("host", "path"), F.col("pattern"))).otherwise(F.regexp_like(lower_ascii(F.coalesce("url", F.lit(""))), F.col("pattern")))
+    best = met.where(fits).groupBy(F.coalesce("url", F.lit("")).alias("found")).agg(F.max(F.struct((-F.col("tier")).alias("tier"), "weight", "name", "verdict")).alias("best"))
     base = address(pages.select("page_id", "url"))
-    empty = F.array().cast(_RULE)
-    if len(rules) <= inline:
-        table = F.create_map(*(c for t, rs in sorted(index.items()) for c in (F.lit(t), _literal(rs))))
-        fetched = F.flatten(F.transform(url_tokens(F.col("url")), lambda t: F.coalesce(F.try_element_at(table, t).cast(_RULE), empty)))
-        return _decide(base.withColumn("rules", fetched)).select("page_id", "url", "host", "path", "rule", "verdict", "method_rule")
-    spark = pages.sparkSession
-    rows = [(t, r.name, r.verdict, r.pattern, r.on == "site", r.tier, r.weight) for t, rs in sorted(index.items()) for r in rs]
-    filed = spark.createDataFrame(rows, "t string, name string, verdict string, pattern string, site boolean, tier int, weight int")
-    urls = pages.select("url").where("url is not null").distinct()
-    met = urls.select("url", F.explode(url_tokens(F.col("url"))).alias("t")).join(filed, "t")
-    met = met.groupBy("url").agg(F.collect_list(F.struct("name", "verdict", "pattern", "site", "tier", "weight")).alias("rules"))
-    judged = _decide(address(met)).select("url", "rule", "verdict", "method_rule")
-    out = base.join(judged, "url", "left")
-    return out.select("page_id", "url", "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT)).alias("verdict"), "method_rule")
+    out = base.join(best, F.coalesce(base.url, F.lit("")) == best.found, "left")
+    return out.select(
+        "page_id", "url", "host", "path", F.when(F.col("best.tier") == 0, F.col("best.name")).alias("rule"),
+        F.coalesce("best.verdict", F.lit(DEFAULT)).alias("verdict"), F.when(F.col("best.tier") < 0, F.col("best.name")).alias("method_rule"),
+    )
 
 
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
