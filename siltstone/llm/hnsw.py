@@ -2,11 +2,13 @@
 
 Equal vectors are first folded into one representative.  Representatives of a
 label are dealt into shards of bounded size, a graph is built for each shard,
-and every shard is queried by every vector of its label: one task per pair of
-shards searches both ways.  A beam widens for a query whose beam holds links
-only, and for all queries of a task until an audit, a bounded sample held
-against brute force, finds enough.  Cosines are verified in double precision and
-linked vectors are united.
+and every shard is queried by every vector of its label: one task for each pair
+of shards.  A beam that holds nothing but links belongs to a dense group: all
+vectors that links or the graph's edges tie to the group are compared with all
+of its queries by matrix products, until no more join.  Beams widen for all
+queries of a task until an audit passes: sampled queries are held against brute
+force, and copies of sampled vectors, moved towards the threshold, must meet a link.
+Cosines are computed in double precision and linked vectors are united.
 """
 
 from __future__ import annotations
@@ -19,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, partitions, written
+from .common import components, forest, give_back, partitions, written
 from .wordscan import mix
 
 THRESHOLD = 0.98
 #: Vectors in a shard at most; a shard also holds at most so many bytes of vectors.
-SHARD, SHARD_BYTES = 6144, 48 << 20
-M, EF_BUILD, EF_SEARCH = 12, 40, 32
+SHARD, SHARD_BYTES = 16384, 48 << 20
+M, EF_BUILD, EF_SEARCH = 12, 40, 16
 #: Audited queries in a task, and the recall that an audit asks for.
-AUDIT, RECALL = 48, 0.97
+AUDIT, RECALL = 128, 0.99
 BATCH = 256
 
 
@@ -195,63 +197,132 @@ class Graph:
     def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         return self._beam(q, self._descend(q, 1)[:, None], 0, min(ef, len(self.x)))
 
-    def links(self, q: np.ndarray, threshold: float, ef: int) -> np.ndarray:
-        """Boolean (query, vector): found with a cosine of at least ``threshold``.
-
-        A beam full of links is widened four times over; beyond a quarter of the
-        shard the query looks at all of it.
-        """
-        out = np.zeros((len(q), len(self.x)), bool)
+    def beams(self, q: np.ndarray, threshold: float, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector) of the links in beams of ``ef``, and which queries' beams hold nothing else."""
+        qs, xs, full = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(q), bool)
         for a in range(0, len(q), BATCH):
-            todo, e = np.arange(a, min(a + BATCH, len(q))), ef
-            while len(todo):
-                if e * 4 > len(self.x):
-                    out[todo] |= q[todo] @ self.x.T >= threshold
-                    break
-                ids, sims = self.search(q[todo], e)
-                hit = sims >= threshold
-                out[np.broadcast_to(todo[:, None], hit.shape)[hit], ids[hit]] = True
-                todo, e = todo[hit.all(1)], 4 * e
-        return out
-
-
-def audited_links(g: Graph, q: np.ndarray, threshold: float) -> np.ndarray:
-    """Links of all queries, beams doubled until the audit passes."""
+            ids, sims = self.search(q[a : a + BATCH], ef)
+            hit = (sims >= threshold) & (ids >= 0)
+            full[a : a + BATCH] = hit.all(1) & (ids.shape[1] < len(self.x))
+            i, j = np.nonzero(hit)
+            qs.append(i + a)
+            xs.append(ids[i, j].astype(np.int64))
+        return np.concatenate(qs), np.concatenate(xs), full
+
+    def neighbours(self, nodes: np.ndarray) -> np.ndarray:
+        near = np.unique(self.layers[0][1][self._slot[0][nodes]])
+        return near[near >= 0].astype(np.int64)
+
+
+class Found:
+    """Links of a shard's queries: how many vectors each side is linked with, and a spanning forest of all links."""
+
+    def __init__(self, g: Graph, q: np.ndarray | None, counts: np.ndarray, q_counts: np.ndarray, threshold: float, ef: int):
+        self.same = q is None  # the shard's own vectors ask
+        q = g.x if q is None else q
+        shift = 0 if self.same else len(q)
+        qs, xs, full = g.beams(q, threshold, ef)
+        pairs = qs * len(g.x) + xs
+        if self.same:  # a link is one of both ends
+            pairs = np.concatenate([pairs, xs * len(g.x) + qs])
+        qs, xs = np.divmod(np.unique(pairs), len(g.x))
+        self.n_q, self.n_x = np.zeros(len(q), np.int64), np.zeros(len(g.x), np.int64)
+        self._edges = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        self._shift = shift
+        dense = self._dense(g, q, qs, xs, full, threshold)
+        kept = ~np.isin(qs, np.concatenate([d[0] for d in dense])) if dense else np.ones(len(qs), bool)
+        self._add(qs[kept], xs[kept], counts, q_counts)
+        for mine, theirs in dense:
+            for a in range(0, len(mine), BATCH):
+                i, j = np.nonzero(q[mine[a : a + BATCH]] @ g.x[theirs].T >= threshold)
+                self._add(mine[i + a], theirs[j], counts, q_counts)
+
+    def _add(self, qs: np.ndarray, xs: np.ndarray, counts: np.ndarray, q_counts: np.ndarray) -> None:
+        if self.same:
+            qs, xs = qs[qs != xs], xs[qs != xs]
+        self.n_q += np.bincount(qs, counts[xs], len(self.n_q)).astype(np.int64)
+        self.n_x += np.bincount(xs, q_counts[qs], len(self.n_x)).astype(np.int64)
+        if len(qs):
+            self._edges.append(forest(qs, xs + self._shift))
+
+    def _dense(self, g: Graph, q: np.ndarray, qs: np.ndarray, xs: np.ndarray, full: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(queries, vectors) of each group of linked ones with a full beam; vectors next to a group join it while one of its queries is linked with them."""
+        edges = [(qs, xs + self._shift)]
+        while full.any():
+            root = np.arange(len(q) + (0 if self.same else len(g.x)))
+            node, low = forest(np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]))
+            root[node] = low
+            groups, more = [], []
+            for r in np.unique(root[: len(q)][full]).tolist():
+                mine = np.flatnonzero(root[: len(q)] == r)
+                theirs = mine if self.same else np.flatnonzero(root[len(q) :] == r)
+                groups.append((mine, theirs))
+                near = np.setdiff1d(g.neighbours(theirs), theirs, assume_unique=True)
+                for a in range(0, len(near), BATCH):
+                    joins = (q[mine] @ g.x[near[a : a + BATCH]].T >= threshold).any(0)
+                    more.append((np.full(int(joins.sum()), mine[0]), near[a : a + BATCH][joins] + self._shift))
+            if not sum(len(m[0]) for m in more):
+                return groups
+            edges += more
+        return []
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate([e[k] for e in self._edges]) for k in (0, 1))
+        return forest(a, b) if len(a) else (a, b)
+
+
+def moved(x: np.ndarray, cosine: float) -> np.ndarray:
+    """Copies of unit vectors, each turned by a fixed angle towards a direction of its own."""
+    side = np.random.default_rng(7).normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    norm = np.sqrt((side * side).sum(1, keepdims=True))
+    return np.where(norm > 1e-9, cosine * x + math.sqrt(1 - cosine * cosine) * side / np.maximum(norm, 1e-9), x)
+
+
+def beam_width(g: Graph, q: np.ndarray, threshold: float) -> int:
+    """The narrowest beam that passes the audit; as wide as the shard at most, where nothing can be missed but what no edge leads to."""
     pick = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    exact = q[pick] @ g.x.T
+    true = q[pick] @ g.x.T >= threshold
+    some = np.unique(np.linspace(0, len(g.x) - 1, min(AUDIT, len(g.x))).astype(int))
+    probe = moved(g.x[some], (1 + threshold) / 2)
     ef = EF_SEARCH
-    while True:
-        if ef * 4 > len(g.x):
-            return np.concatenate([q[a : a + BATCH] @ g.x.T >= threshold for a in range(0, len(q), BATCH)])
-        ids, _ = g.search(q[pick], ef)
-        k = min(8, len(g.x))
-        best = np.argpartition(-exact, k - 1, axis=1)[:, :k]
-        near = np.mean([len(set(a) & set(b)) / k for a, b in zip(best.tolist(), ids[:, : max(k, ef)].tolist())])
-        true = exact >= threshold
-        got = g.links(q[pick], threshold, ef)
-        if near >= RECALL - 0.07 and (got & true).sum() >= RECALL * true.sum():
-            return g.links(q, threshold, ef)
+    while ef < len(g.x):
+        a, b, full = g.beams(q[pick], threshold, ef)
+        linked = true.sum(1)
+        got = np.where(full, linked, np.bincount(a, minlength=len(pick)))
+        ids, _ = g.search(probe, ef)
+        met = np.einsum("qkd,qd->qk", g.x[np.maximum(ids, 0)], probe).max(1) >= threshold
+        if got.sum() >= RECALL * linked.sum() and met.mean() >= RECALL:
+            return ef
         ef *= 2
+    return len(g.x)
 
 
-def _pack(g: Graph, ids: np.ndarray, counts: np.ndarray) -> tuple:
-    return ids.astype("<i8").tobytes(), counts.astype("<i8").tobytes(), g.x.astype("<f8").tobytes(), [m.tobytes() for m, _ in g.layers], [n.tobytes() for _, n in g.layers]
+SHARDS = "label string, dim int, shard int, single boolean, ids binary, counts binary, vectors binary, members array<binary>, near array<binary>"
 
 
-SHARDS = "label int, dim int, shard int, ids binary, counts binary, vectors binary, members array<binary>, near array<binary>"
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one in double precision, whatever their magnitude."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _build(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     t = t.combine_chunks().sort_by("rep")
-    x = np.stack(t.column("embedding").to_numpy()).astype(np.float64)
-    x /= np.sqrt((x * x).sum(1, keepdims=True))
-    row = _pack(Graph.build(x), t.column("rep").to_numpy(), t.column("n").to_numpy())
-    kinds = [pa.int32()] * 3 + [pa.binary()] * 3 + [pa.list_(pa.binary())] * 2
-    return pa.Table.from_arrays([pa.array([v], k) for v, k in zip([*(k.as_py() for k in key), *row], kinds)], names=[c.split()[0] for c in SHARDS.split(", ")])
+    values = t.column("embedding").combine_chunks()
+    single = pa.types.is_float32(values.type.value_type)
+    x = values.flatten().to_numpy().reshape(t.num_rows, -1)
+    g = Graph.build(unit(x))
+    row = [single, t.column("rep").to_numpy().astype("<i8").tobytes(), t.column("n").to_numpy().astype("<i8").tobytes(), x.astype("<f4" if single else "<f8").tobytes(), [m.tobytes() for m, _ in g.layers], [n.tobytes() for _, n in g.layers]]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.bool_()] + [pa.binary()] * 3 + [pa.list_(pa.binary())] * 2
+    out = pa.Table.from_arrays([pa.array([v], k) for v, k in zip([*(k.as_py() for k in key), *row], kinds)], names=[c.split()[0] for c in SHARDS.split(", ")])
+    give_back()
+    return out
 
 
 def _unpack(r: dict, dim: int) -> tuple[Graph, np.ndarray, np.ndarray]:
-    x = np.frombuffer(r["vectors"], "<f8").reshape(-1, dim)
+    x = unit(np.frombuffer(r["vectors"], "<f4" if r["single"] else "<f8").reshape(-1, dim))
     layers = []
     for m, n in zip(r["members"], r["near"]):
         m = np.frombuffer(m, np.int32)
@@ -261,65 +332,60 @@ def _unpack(r: dict, dim: int) -> tuple[Graph, np.ndarray, np.ndarray]:
 
 def _search(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
                 g, ids, counts = _unpack(r["a"], r["dim"])
-                if r["b"]["shard"] == r["a"]["shard"]:
-                    hit = audited_links(g, g.x, threshold)
-                    hit |= hit.T
-                    np.fill_diagonal(hit, False)
-                    node, n = ids, hit @ counts
-                    a, c = _forest_of(hit, ids, ids)
+                if r["b"] is None:
+                    f = Found(g, None, counts, counts, threshold, beam_width(g, g.x, threshold))
+                    node, n = ids, f.n_q
                 else:
                     h, ids_b, counts_b = _unpack(r["b"], r["dim"])
-                    hit = audited_links(h, g.x, threshold) | audited_links(g, h.x, threshold).T
-                    node, n = np.concatenate([ids, ids_b]), np.concatenate([hit @ counts_b, hit.T @ counts])
-                    a, c = _forest_of(hit, ids, ids_b)
+                    f = Found(h, g.x, counts_b, counts, threshold, beam_width(h, g.x, threshold))
+                    node, n = np.concatenate([ids, ids_b]), np.concatenate([f.n_q, f.n_x])
+                a, c = f.forest()
                 some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[some], a])), pa.array(np.concatenate([n[some], np.zeros(len(a), np.int64)])), pa.array(np.concatenate([node[some], c]))], ["node", "links", "to"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node[some], node[a]])), pa.array(np.concatenate([n[some], np.zeros(len(a), np.int64)])), pa.array(np.concatenate([node[some], node[c]]))], ["node", "links", "to"])
+        give_back()
 
     return run
 
 
-def _forest_of(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of a link matrix, shrunk row portion by row portion."""
-    kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for r in range(0, len(hit), BATCH):
-        i, j = np.nonzero(hit[r : r + BATCH])
-        if len(i):
-            kept.append(forest(left[i + r], right[j]))
-    a, b = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
-    return forest(a, b) if len(a) else (a, b)
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors(vec_id, embedding, label)``.
 
-    Only rows with the same label and dimension are compared.  A null label or
-    id, a null, empty or zero vector, and one with null or non-finite components
-    link with nothing (component is the row's own id).  Rows with equal vectors
-    are linked with each other.  Rows that repeat an identifier are one vertex
-    but count as links of each other.  An empty table gives no rows; other
-    columns are ignored.
+    Only rows with the same label (of any type that casts to a string) and
+    dimension are compared.  A null label or id, a null, empty or zero vector,
+    and one with null or non-finite components link with nothing (component is
+    the row's own id).  Rows with equal vectors are linked with each other; a
+    cosine equal to the threshold links.  Rows that repeat an identifier are one
+    vertex but count as links of each other.  An empty table gives no rows;
+    other columns are ignored.
     """
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("int").alias("label"))
-    fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    v = v.withColumn("ok", F.coalesce(fine, F.lit(False)))
     spark = vectors.sparkSession
-    reps = written(v.where("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "hnsw-reps")
-    dims = reps.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("total"))
+    e = F.col("embedding")
+    if "float" not in vectors.schema["embedding"].dataType.simpleString():
+        e = e.cast("array<double>")
+    v = vectors.select("vec_id", e.alias("embedding"), F.col("label").cast("string").alias("label"))
+    fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    v = v.withColumn("ok", F.coalesce(fine, F.lit(False))).withColumns({"dim": F.size("embedding"), "k": F.xxhash64("embedding"), "l": F.xxhash64(F.reverse("embedding"), F.lit(1))})
+    named = ["label", "dim", "k", "l"]  # 128 bits of hashes stand for a vector
+    ids = v.where("ok").groupBy(*named).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    reps = v.where("ok").groupBy(*named).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
+    dims = ids.groupBy("label", "dim").agg(F.count("*").alias("total"))
     per = F.least(F.lit(shard), F.greatest(F.lit(256), (F.lit(SHARD_BYTES) / (8 * F.col("dim"))).cast("int")))
-    dims = dims.withColumn("shards", F.ceil(F.col("total") / per).cast("int"))
-    dealt = reps.withColumn("dim", F.size("embedding")).join(dims, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), "shards").cast("int"))
+    dims = dims.select("label", "dim", F.ceil(F.col("total") / per).cast("int").alias("shards"))
+    dealt = reps.join(dims, ["label", "dim"]).withColumn("shard", F.pmod("k", "shards").cast("int"))
     graphs = written(dealt.select("label", "dim", "shard", "rep", "n", "embedding").groupBy("label", "dim", "shard").applyInArrow(_build, SHARDS), "hnsw-graphs")
     side = lambda k: graphs.select("label", "dim", F.struct(*(c for c in graphs.columns if c not in ("label", "dim"))).alias(k))
-    pairs = side("a").join(side("b"), ["label", "dim"]).where("a.shard <= b.shard")
+    own = side("a").select("label", "dim", "a", F.lit(None).cast(side("a").schema["a"].dataType).alias("b"))
+    pairs = own.union(side("a").join(side("b"), ["label", "dim"]).where("a.shard < b.shard"))
     pairs = pairs.repartition(partitions(spark), "label", "dim", "a.shard", "b.shard")
     found = written(pairs.select("dim", "a", "b").mapInArrow(_search(threshold), "node long, links long, to long"), "hnsw-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")))
-    known = reps.join(links, reps.rep == links.node, "left").drop("node").join(roots, F.col("rep") == roots.node, "left").select("label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    yes = v.where("ok").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    known = ids.join(links, ids.rep == links.node, "left").drop("node").join(roots, F.col("rep") == roots.node, "left").select(*named, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    yes = v.where("ok").select("vec_id", *named).join(known, named).select("vec_id", "n_links", "component_id")
     out = yes.union(v.where("not ok").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
