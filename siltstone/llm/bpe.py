@@ -8,6 +8,7 @@ Tests hold the result equal to ``Tokenizer.encode`` of the whole text.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -15,6 +16,9 @@ import numpy as np
 
 from .wordscan import prefix, spans
 
+#: Bytes of text that are encoded at once: code points and hash sums take some forty times as much.
+TEXT_BYTES = 1 << 20
+
 _LETTER, _NUMBER, _OTHER, _SPACE = 1, 2, 3, 4
 #: Code points with the White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -81,14 +85,20 @@ def pretokens(cps: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
 class MemoTokenizer:
     """Encodes lists of texts; the memo is dropped when it is five eighths full, so memory is bounded."""
 
-    BITS = 21
+    BITS = 20
     LONG = 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        cut, added = tok.pre_tokenizer, tok.get_added_tokens_decoder()
+        if tok.normalizer or type(cut).__name__ != "ByteLevel" or cut.add_prefix_space or not cut.use_regex:
+            raise ValueError(f"{path}: only byte-level vocabularies without a normalizer or prefix space are cut here")
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError(f"{path}: added tokens with options aren't supported")
+        self._added = {t.content: i for i, t in added.items()}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
         self._model = tok.model
         self._chars = _byte_chars()
         self._clear()
@@ -132,7 +142,25 @@ class MemoTokenizer:
             self._n += 1
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids uint32 of all texts, offsets): text i has ids[off[i]:off[i+1]]."""
+        """(ids uint32 of all texts, offsets): text i has ids[off[i]:off[i+1]].
+
+        As in the library, added tokens (``<|endoftext|>``) are found in a text
+        first and stand for themselves.
+        """
+        if not any(a in t for t in texts for a in self._added):
+            return self._plain(texts)
+        cut = [self._cut.split(t) for t in texts]  # added tokens stand at odd places
+        ids, off = self._plain([x for c in cut for x in c[::2]])
+        out, size, k = [], [0], 0
+        for c in cut:
+            for i, x in enumerate(c):
+                out.append(np.array([self._added[x]], np.uint32) if i % 2 else ids[off[k + i // 2] : off[k + i // 2 + 1]])
+            k += len(c) // 2 + 1
+            size.append(size[-1] + sum(map(len, out[len(out) - len(c) :])))
+        return np.concatenate(out), np.array(size)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without added tokens."""
         whole = "".join(texts)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(size)
@@ -160,16 +188,10 @@ class MemoTokenizer:
                     parts = [self.word_ids(whole[x:y]) for x, y in zip(start.tolist(), end.tolist())]
                     ids = np.array([i for p in parts for i in p], np.uint32)
                     return ids, np.array([0, len(ids)])
-                both = [self.encode([t]) for t in texts]
+                both = [self._plain([t]) for t in texts]
                 return np.concatenate([b[0] for b in both]), np.concatenate([[0], np.cumsum([len(b[0]) for b in both])])
         n = self._len[at].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = self._ids[np.repeat(self._at[at] - upto[:-1], n) + np.arange(upto[-1])]
         word_of = np.searchsorted(start, np.concatenate([[0], ends]))
         return ids, upto[word_of]
-
-
-@lru_cache(2)
-def tokenizer(path: str) -> MemoTokenizer:
-    """One tokenizer per worker process and file."""
-    return MemoTokenizer(path)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import bpe
-from .common import chunks
+from .common import chunks, mapped
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -87,7 +87,7 @@ def windows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
 
 def _packer(path: str, capacity: int, group: int, grain: int, end_id: int, ids_too: bool):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = bpe.tokenizer(path)
+        tok = bpe.MemoTokenizer(path)
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         used = 0
         rows: list[tuple] = []
@@ -108,7 +108,7 @@ def _packer(path: str, capacity: int, group: int, grain: int, end_id: int, ids_t
             used += k
             queue.clear()
 
-        for part, _, _ in chunks(batches, "text"):
+        for part, _, _ in chunks(batches, "text", bpe.TEXT_BYTES):
             texts = [t or "" for t in part.column(1).to_pylist()]
             ids, off = tok.encode(texts)
             for i, doc in enumerate(part.column(0).to_pylist()):
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = 1024, g
     a document's rest.  ``with_ids`` adds the piece's ids (little-endian 32-bit).
     """
     f = _packer(vocabulary or bpe.default_path(), capacity, group, grain, end_id, with_ids)
-    return docs.select("doc_id", "text").mapInArrow(f, COLUMNS + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").transform(mapped(f, COLUMNS + ", ids binary" * with_ids))
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import chunks, partitions, scratch_path, written
+from .common import chunks, mapped, partitions, scratch_path, written
 from .wordscan import mix
 
 MAGIC = b"SILTSST1"
@@ -230,7 +230,7 @@ MANIFEST = "part long, seq long, path string, docs long, tokens long, bytes long
 
 def _shards(folder: str, vocabulary: str, end_id: int, most: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = bpe.tokenizer(vocabulary)
+        tok = bpe.MemoTokenizer(vocabulary)
         part, seq, rows = TaskContext.get().partitionId(), 0, []
         out = w = None
         last, repeat = object(), 0
@@ -242,7 +242,7 @@ def _shards(folder: str, vocabulary: str, end_id: int, most: int):
             rows.append((part, seq, path, w.entries, tokens, w.size, first, last))
             seq, w = seq + 1, None
 
-        for batch, _, _ in chunks(batches, "text"):
+        for batch, _, _ in chunks(batches, "text", bpe.TEXT_BYTES):
             ids, off = tok.encode([t or "" for t in batch.column(1).to_pylist()])
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 if w and doc != last and w.size >= most:
@@ -275,7 +275,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str | N
     folder = folder or scratch_path(spark, "sst")
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(d.mapInArrow(_shards(folder, vocabulary or bpe.default_path(), end_id, shard_bytes), MANIFEST), "sst-manifest")
+    return written(d.transform(mapped(_shards(folder, vocabulary or bpe.default_path(), end_id, shard_bytes), MANIFEST)), "sst-manifest")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +301,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     """
     w = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     m = manifest.select("path", F.coalesce(F.sum("tokens").over(w), F.lit(0)).alias("base"))
-    return m.repartition(partitions(manifest.sparkSession), "path").mapInArrow(_scan, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return m.repartition(partitions(manifest.sparkSession), "path").transform(mapped(_scan, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def lookup(manifest: DataFrame, doc_id: int) -> np.ndarray | None:
