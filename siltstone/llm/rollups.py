@@ -23,9 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import chunks, scratch_path, written
+from .common import chunks, mapped, scratch_path, written
 
 KEYS = ["source", "lang", "tokenizer"]
+#: Name of the marker that stands for a list of batches.
+MANY = "many"
 SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
@@ -43,7 +45,12 @@ def changes(df: DataFrame, kind: Column | str, before: Column | None = None, aft
 
 
 class Rollup:
-    """Totals by source, language and tokenizer version in a folder of committed deltas."""
+    """Totals by source, language and tokenizer version in a folder of committed deltas.
+
+    Null sources, languages and versions are values of their own, null counts
+    are 0, repeated rows count each, and an empty batch is committed too.  Only
+    the named columns of a batch are read; others may have any name.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder = spark, (folder or scratch_path(spark, "rollup")).rstrip("/")
@@ -59,16 +66,20 @@ class Rollup:
         fs, top = self._fs(), self._path("commits")
         if not fs.exists(top):
             return {}
-        out: dict[str, str] = {}
-        for name in sorted((s.getPath().getName() for s in fs.listStatus(top)), key=lambda n: n.count("+")):
-            names, _, delta = name.rpartition("@")
-            out |= dict.fromkeys(names.split("+"), delta)  # a compacted delta stands for its batches
+        marks = [s.getPath().getName().rpartition("@") for s in fs.listStatus(top)]
+        out = {batch: delta for batch, _, delta in marks if batch != MANY}
+        lists = [(self._listed(delta), delta) for batch, _, delta in marks if batch == MANY]
+        for names, delta in sorted(lists, key=lambda x: (len(x[0]), x[1])):  # of two compactions the later one holds the earlier
+            out |= dict.fromkeys(names, delta)
         return out
 
+    def _listed(self, delta: str) -> list[str]:
+        return [r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.folder}/lists/{delta}").collect()]
+
     def commit(self, batch: str, signed: DataFrame) -> bool:
         """Apply a batch of signed images (source, lang, tokenizer, tokens, sign) once; False if it was committed before."""
-        if not batch or set("/@+") & set(batch):
-            raise ValueError("a batch name has none of / @ +")
+        if not batch or set("/@") & set(batch) or batch == MANY:
+            raise ValueError(f"a batch name has none of / @ and isn't {MANY}")
         if batch in self.batches():
             return False
         delta = uuid.uuid4().hex
@@ -92,17 +103,18 @@ class Rollup:
     def compact(self) -> None:
         """Replace all deltas by their sum.
 
-        The sum is written first, then one marker that names all batches it
-        holds, then the old markers go.  ``batches`` lets a marker that names
-        several batches stand for theirs, so a crash in between changes nothing.
+        The sum and the list of the batches it holds are written first, then one
+        marker for them, then the old markers go.  ``batches`` lets that marker
+        stand for the listed batches, so a crash in between changes nothing.
         """
         done = self.batches()
         if len(set(done.values())) < 2:
             return
         delta = uuid.uuid4().hex
         self.totals().coalesce(1).write.parquet(f"{self.folder}/deltas/{delta}")
+        self.spark.createDataFrame([(b,) for b in sorted(done)], "batch string").coalesce(1).write.parquet(f"{self.folder}/lists/{delta}")
         fs = self._fs()
-        fs.create(self._path(f"commits/{'+'.join(sorted(done))}@{delta}"), False).close()
+        fs.create(self._path(f"commits/{MANY}@{delta}"), False).close()
         for s in fs.listStatus(self._path("commits")):
             if s.getPath().getName().rpartition("@")[2] != delta:
                 fs.delete(s.getPath(), False)
@@ -110,8 +122,8 @@ class Rollup:
 
 def _counter(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = bpe.tokenizer(path)
-        for part, _, _ in chunks(batches, "text"):
+        tok = bpe.MemoTokenizer(path)
+        for part, _, _ in chunks(batches, "text", bpe.TEXT_BYTES):
             _, off = tok.encode([t or "" for t in part.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(np.diff(off), pa.int64())], [*part.schema.names[1:], "tokens"])
 
@@ -119,9 +131,13 @@ def _counter(path: str):
 
 
 def counted(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """source, lang, empty and tokens of every document, by the byte-level BPE vocabulary."""
+    """source, lang, empty and tokens of every document, by the byte-level BPE vocabulary.
+
+    Null texts are empty and have no tokens; repeated rows are counted each; an
+    empty table gives no rows; other columns are ignored.
+    """
     d = docs.select("text", "source", "lang", (F.coalesce(F.length("text"), F.lit(0)) == 0).alias("empty"))
-    return d.mapInArrow(_counter(vocabulary or bpe.default_path()), "source string, lang string, empty boolean, tokens long")
+    return d.transform(mapped(_counter(vocabulary or bpe.default_path()), "source string, lang string, empty boolean, tokens long"))
 
 
 def op3_token_rollup(spark, sf_dir: str) -> DataFrame:
