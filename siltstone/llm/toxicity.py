@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, written
+from .common import chunks, mapped, partitions, written
 from .wordscan import ALNUM, Words, runs
 
 #: Bounds of what is fitted: labelled documents, words, neighbours.
@@ -90,13 +90,8 @@ class Index:
         """Similarity-weighted share of the label among neighbours, smoothed by the prior."""
         return float(((sim * self.labels[at]).sum() + SMOOTH * self.prior) / (sim.sum() + SMOOTH))
 
-    def fit(self, k: int) -> None:
-        """Logistic calibration on the examples' votes without themselves."""
-        x, y = [], []
-        for e, (t, w) in enumerate(self.vectors):
-            at, sim = self.nearest(t, w, k + 1)
-            x.append(self.vote(at[at != e][:k], sim[at != e][:k]))
-            y.append(self.labels[e])
+    def calibrate(self, x: list[float], y: list[float]) -> None:
+        """Logistic curve from the examples' votes ``x``, each without itself, to their labels."""
         if not 0 < sum(y) < len(y):
             return
         x, y, a, b = np.array(x), np.array(y), 1.0, 0.0
@@ -113,6 +108,12 @@ class Index:
                 break
         self.curve = (a, b)
 
+    def others(self, doc_id: int, terms: np.ndarray, counts: np.ndarray, k: int) -> float:
+        """The vote of an example's neighbours without itself."""
+        at, sim = self.nearest(terms, self.unit(terms, counts), k + 1)
+        away = np.array([self.ids[i] != doc_id for i in at.tolist()], bool)
+        return self.vote(at[away][:k], sim[away][:k])
+
     def score(self, terms: np.ndarray, counts: np.ndarray, k: int) -> tuple[float, list]:
         """(calibrated score, evidence); a document without any used word has the share of such examples."""
         if not len(terms):
@@ -127,7 +128,7 @@ def held_out(doc_id="doc_id"):
 
 
 def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, toxic, two minima of shingle hashes, the text's distinct words."""
+    """doc_id, text, toxic, two minima of shingle hashes, the text's distinct words."""
     for part, buf, off in chunks(batches, "text"):
         w = Words(buf, off, ALNUM)
         h = runs(w, 5)
@@ -138,12 +139,12 @@ def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             m1.append(int(x.min() >> np.uint64(1)) if len(x) else -1)
             m2.append(int(x.max() >> np.uint64(1)) if len(x) else -1)
             words.append(sorted({w.text(j).decode("utf-8", "replace") for j in range(a, b)}))
-        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2).cast(pa.int32()), pa.array(m1, pa.int64()), pa.array(m2, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "m1", "m2", "words"])
+        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), part.column(2).cast(pa.int32()), pa.array(m1, pa.int64()), pa.array(m2, pa.int64()), pa.array(words, pa.list_(pa.string()))], ["doc_id", "text", "toxic", "m1", "m2", "words"])
 
 
 def _vectors(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, number = table.value
+        key, number = table.table if isinstance(table, Model) else table.value
         bits = np.zeros(1 << 16, bool)
         bits[(key >> np.uint64(48)).astype(np.int64)] = True
         for part, buf, off in chunks(batches, "text"):
@@ -162,6 +163,20 @@ def _vectors(table):
     return run
 
 
+def _frequencies(table):
+    """(term, texts that hold it) of each task; term -1 counts the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, of = 0, np.zeros(len(table.value[0]), np.int64)
+        for b in _vectors(table)(batches):
+            n += b.num_rows
+            of += np.bincount(b.column(1).flatten().to_numpy(), minlength=len(of))
+        some = np.flatnonzero(of)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(of[some], n), pa.int64())], ["term", "n"])
+
+    return run
+
+
 class Model:
     """Words, index and curve; ``table``: sorted word hashes and their numbers."""
 
@@ -184,7 +199,7 @@ def select_words(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, w
     lab = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     picked = docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id").select("doc_id", "text", "toxic")
-    ex = picked.mapInArrow(_example_words, "doc_id long, toxic int, m1 long, m2 long, words array<string>")
+    ex = picked.transform(mapped(_example_words, "doc_id long, text string, toxic int, m1 long, m2 long, words array<string>"))
     first = lambda d, m: d.groupBy(m).agg(F.min_by(F.struct(*d.columns), "doc_id").alias("r")).select("r.*")
     ex = written(first(first(ex, "m1"), "m2"), "toxicity-examples")
     n, n1 = ex.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -197,43 +212,68 @@ def select_words(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, w
     return sorted(r.w for r in by.orderBy(F.desc("x2"), "w").limit(words).select("w").collect()), ex
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, words: int = WORDS, k: int = NEIGHBOURS) -> tuple[Model, DataFrame]:
-    """(model, every document's counts of the used words)."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, words: int = WORDS, k: int = NEIGHBOURS) -> Model:
+    """The model: words and examples from the bounded sample, document frequencies from all documents."""
     spark = docs.sparkSession
     chosen, ex = select_words(docs, labels, examples, words)
     model = Model(chosen, None, k)
     table = spark.sparkContext.broadcast(model.table)
-    vectors = written(docs.select("doc_id", "text").mapInArrow(_vectors(table), "doc_id long, terms array<int>, counts array<int>"), "toxicity-vectors")
-    n = vectors.count()
-    df = np.ones(max(1, len(chosen)))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row per used word
-        df[r.t] = r["count"]
+    df, n = np.ones(max(1, len(chosen))), 0
+    counts = docs.select(F.lit(0).alias("doc_id"), "text").transform(mapped(_frequencies(table), "term int, n long"))
+    for r in counts.groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row per used word
+        if r.term < 0:
+            n = r.n
+        else:
+            df[r.term] = r.n
     idf = np.log((1 + n) / df) + 1
-    # the examples' own counts: a join on at most EXAMPLES identifiers; rows of one identifier with other words are not it
-    mine = vectors.join(F.broadcast(ex.select("doc_id", "toxic")), "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min(F.struct("terms", "counts")).alias("v")).collect()
-    index = Index([r.doc_id for r in mine], np.array([r.toxic for r in mine], np.float64), [(np.array(r.v.terms, np.int64), np.array(r.v.counts, np.float64)) for r in mine], idf)
-    index.fit(k)
+    vectors = ex.select("doc_id", "text").transform(mapped(_vectors(table), "doc_id long, terms array<int>, counts array<int>")).join(F.broadcast(ex.select("doc_id", "toxic")), "doc_id")
+    mine = vectors.collect()  # at most EXAMPLES rows of used words
+    index = Index([r.doc_id for r in mine], np.array([r.toxic for r in mine], np.float64), [(np.array(r.terms, np.int64), np.array(r.counts, np.float64)) for r in mine], idf)
+    shared = spark.sparkContext.broadcast(index)
+    votes = vectors.where(F.size("terms") > 0).repartition(partitions(spark)).select("doc_id", "terms", "counts", "toxic").transform(mapped(_votes(shared, k), "vote double, toxic int")).collect()
+    votes = sorted((r.vote, r.toxic) for r in votes)
+    index.calibrate([v for v, _ in votes], [float(t) for _, t in votes])
     model.index = index
-    return model, vectors
+    for b in (shared, table):
+        b.destroy()
+    return model
+
+
+def _votes(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = [shared.value.others(d, np.array(t, np.int64), np.array(n, np.float64), k) for d, t, n in zip(*(b.column(i).to_pylist() for i in range(3)))]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.float64()), b.column(3)], ["vote", "toxic"])
+
+    return run
 
 
 EVIDENCE = "array<struct<doc_id:long,similarity:double,toxic:int>>"
 
 
+#: Texts whose scores a task remembers: many texts hold the same used words.
+MEMO = 4096
+
+
+def _judged(shared, batch: pa.RecordBatch, memo: dict) -> Iterator[tuple[float, list]]:
+    """(score, evidence) of each row of ``batch`` (doc_id, text)."""
+    m = shared.value
+    for v in _vectors(m)(iter([batch])):
+        for t, n in zip(v.column(1).to_pylist(), v.column(2).to_pylist()):
+            key = (tuple(t), tuple(n))
+            if key not in memo:
+                if len(memo) > MEMO:
+                    memo.clear()
+                memo[key] = m.index.score(np.array(t, np.int64), np.array(n, np.float64), m.k)
+            yield memo[key]
+
+
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, memo = shared.value, {}
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+        kind, memo = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())])), {}
         for b in batches:
-            out = []
-            for t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                key = (tuple(t), tuple(n))
-                if key not in memo:
-                    if len(memo) > 20_000:
-                        memo.clear()
-                    memo[key] = m.index.score(np.array(t, np.int64), np.array(n, np.float64), m.k)
-                out.append(memo[key])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], kind)], ["doc_id", "score", "evidence"])
+            out = list(_judged(shared, b, memo))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], kind)], ["doc_id", "score", "evidence"])
 
     return run
 
@@ -248,9 +288,8 @@ def score(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     ids are never held out; an empty table gives no rows; other columns are
     ignored.
     """
-    model, vectors = fit(docs, labels, **bounds)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    s = vectors.mapInArrow(_scores(shared), f"doc_id long, score double, evidence {EVIDENCE}")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
+    s = docs.select("doc_id", "text").transform(mapped(_scores(shared), f"doc_id long, score double, evidence {EVIDENCE}"))
     return s.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
@@ -258,20 +297,20 @@ def keep_clean(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """The documents whose prediction is 0, in their own columns.
 
     Each row is judged by its text; the model is applied to the rows themselves,
-    so nothing is joined by identifier.
+    so nothing is joined by identifier.  Null and empty texts, null ids,
+    repeated rows and other columns are handled as in :func:`score`; an empty
+    table gives no rows.
     """
-    model, _ = fit(docs, labels, **bounds)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    table = docs.sparkSession.sparkContext.broadcast(model.table)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
         for b in batches:
             i = b.schema.get_field_index("text")
             pair = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column(i)], ["doc_id", "text"])
-            keep = [s < 0.5 for v in _scores(shared)(_vectors(table)(iter([pair]))) for s in v.column(1).to_pylist()]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            yield b.filter(pa.array([s < 0.5 for s, _ in _judged(shared, pair, memo)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped(run, docs.schema))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
