@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import _broadcastRegistry
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +20,18 @@ CHUNK_BYTES = 2 << 20
 with contextlib.suppress(OSError, AttributeError):
     # Worker processes live on between tasks.  With a fixed threshold (M_MMAP_THRESHOLD, -3) the C library maps every
     # large array by itself and gives it back when it is freed, instead of keeping it in a heap that only grows.
+    # Arrow's buffers come from it too, and threads share one arena (M_ARENA_MAX, -8).
     ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
+    ctypes.CDLL("libc.so.6").mallopt(-8, 1)
+pa.set_memory_pool(pa.system_memory_pool())
 
 
 def give_back() -> None:
-    """Return freed memory to the system at the end of a task."""
-    pa.default_memory_pool().release_unused()
+    """At the end of a task: let go of the values of broadcasts, which are read again if need be, and return freed memory to the system."""
+    for b in list(_broadcastRegistry.values()):
+        if b._path is not None:
+            b.__dict__.pop("_value", None)
+    gc.collect()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
@@ -52,6 +60,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     path = scratch_path(df.sparkSession, name)
+    small_batches(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -96,7 +105,31 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             b = min(n, max(b, a + 1))
             yield batch.slice(a, b - a), buf[off[a] : off[b]], off[a : b + 1] - off[a]
             a = b
-    give_back()
+
+
+#: Bytes of an Arrow batch between the JVM and Python: each stands in both memories, outside the JVM's heap.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by ``BATCH_BYTES`` from now on, unless the session has a limit of its own below 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def mapped(run: Callable[[Iterator], Iterator], schema) -> Callable[[DataFrame], DataFrame]:
+    """``mapInArrow`` in small batches; a task gives its memory back when it has ended and holds nothing any more."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    def on(df: DataFrame) -> DataFrame:
+        small_batches(df.sparkSession)
+        return df.mapInArrow(whole, schema)
+
+    return on
 
 
 def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -166,10 +199,10 @@ def components(edges: DataFrame) -> DataFrame:
     the shared folder, so a lost executor costs one round at most.
     """
     spark = edges.sparkSession
-    e = edges.select("a", "b").where("a <> b").mapInArrow(_forests, "a long, b long").distinct()
+    e = edges.select("a", "b").where("a <> b").transform(mapped(_forests, "a long, b long")).distinct()
     e = written(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "cc")
     if e.count() <= ONE_TASK:
-        whole = e.coalesce(1).mapInArrow(_forests, "a long, b long")
+        whole = e.coalesce(1).transform(mapped(_forests, "a long, b long"))
         return whole.select(F.col("a").alias("node"), F.col("b").alias("root"))
     seen = None
     while True:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, flat
+from .common import chunks, flat, mapped
 from .wordscan import ALNUM, Words, mix
 
 #: Masks of five compared words; ``1`` is compared.  One of them meets every stretch of 13 words or more
@@ -206,7 +206,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
     null ids stay null; empty tables give no rows; other columns are ignored.
     """
     share = docs.sparkSession.sparkContext.broadcast
-    return reduce(DataFrame.union, (docs.select("doc_id", "text").mapInArrow(_search(share(s)), COLUMNS) for s in blocks(benchmark, block_words)))
+    return reduce(DataFrame.union, (docs.select("doc_id", "text").transform(mapped(_search(share(s)), COLUMNS)) for s in blocks(benchmark, block_words)))
 
 
 def _clean(seeds):
@@ -226,7 +226,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_W
     """The rows of ``docs`` that hold no benchmark passage, in their own columns, without a shuffle."""
     share = docs.sparkSession.sparkContext.broadcast
     for s in blocks(benchmark, block_words):
-        docs = docs.mapInArrow(_clean(share(s)), docs.schema)
+        docs = docs.transform(mapped(_clean(share(s)), docs.schema))
     return docs
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, give_back, partitions, written
+from .common import components, forest, give_back, mapped, partitions, written
 from .wordscan import mix
 
 THRESHOLD = 0.98
@@ -381,7 +381,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
     own = side("a").select("label", "dim", "a", F.lit(None).cast(side("a").schema["a"].dataType).alias("b"))
     pairs = own.union(side("a").join(side("b"), ["label", "dim"]).where("a.shard < b.shard"))
     pairs = pairs.repartition(partitions(spark), "label", "dim", "a.shard", "b.shard")
-    found = written(pairs.select("dim", "a", "b").mapInArrow(_search(threshold), "node long, links long, to long"), "hnsw-links")
+    found = written(pairs.select("dim", "a", "b").transform(mapped(_search(threshold), "node long, links long, to long")), "hnsw-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")))
     known = ids.join(links, ids.rep == links.node, "left").drop("node").join(roots, F.col("rep") == roots.node, "left").select(*named, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))

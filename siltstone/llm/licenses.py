@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import chunks, mapped
 from .wordscan import Words, word_hash
 
 #: Phrases of the contract and their labels.
@@ -268,7 +268,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
                 ["doc_id", "n_words", "phrases", "templates", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").transform(mapped(run, SCHEMA))
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -1,27 +1,31 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 The feature domain (hashes of five-word shingles) is cut into first-level
-partitions of two second-level partitions each, and the subsets of one
-second-level partition are enumerated as signatures: the content of that
-partition, for the size band.  Two sets of Jaccard similarity 3/4 or more differ
-in at most k = (|u| + |v|) / 7 features, so with n > k second-level partitions
-at least n - k of them agree, and the pair shares a signature.
+partitions, each of them into second-level ones, and every subset of two
+second-level partitions of a first-level one is enumerated as a signature: the
+content of both, for the size band.  Two sets of Jaccard similarity 3/4 or more
+differ in at most k = (|u| + |v|) / 7 features, so of a set's ``full`` (not empty)
+second-level partitions at least full - k agree with the other set's.  With more
+of those than first-level partitions, two of them share one, and the pair has a
+signature in common.
 
 * A set emits signatures in the scheme of its own size band and in those of the
   lower bands that a similar smaller set can have.
-* Agreement on an empty partition gives no signature.  n is chosen so that a set
-  hardly ever has n - k empty partitions; sets that do also emit those as
-  signatures, and both sets of a missed pair would be such.
-* The same surplus ``slack`` = n - k - 1 - empty allows more: a set with at most
-  so many signatures in crowded groups finds all its partners elsewhere.
+* A set with too few full partitions (a pair without a common signature has two
+  such sets) emits single partitions as well, and empty ones if need be.
+* The surplus ``slack`` = full - k - first-level partitions - 1 allows more: a set
+  with at most so many signatures in crowded groups finds all its partners
+  elsewhere.
 
 Signatures travel packed (40-bit values in order, delta-coded) and meet bucket
 by bucket.  Groups don't become pairs: members are first paired with their
 group's least member only, verified and united; then only groups that still hold
-several components give pairs across components (small groups); sets
-without slack that crowded groups tie together are compared block against block
-inside tasks.  A safe bound from bit sketches drops most false pairs before
-texts are fetched; similarity is then verified on whole texts.
+several components give pairs across components (small groups).  Sets without
+slack that crowded groups hold get an exact way of their own: each feature is a
+partition by itself there, and a set enters the groups of those of its rarest
+features, of which similar sets must share one.  A safe bound from bit sketches
+drops most false pairs before texts are fetched; similarity is then verified on
+whole texts.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, components, flat, give_back, partitions, written
+from .common import chunks, components, flat, give_back, mapped, partitions, written
 from .wordscan import SPACED, Words, mix, shingles
 
 K = 5
@@ -43,8 +47,11 @@ K = 5
 CROWD = 24
 #: Sets of one chunk that share a signature before the chunk sends one of them to the bucket.
 LOCAL = 64
-CHUNK_SHINGLES = 1 << 20
+CHUNK_SHINGLES = 1 << 19
+#: Text bytes whose signatures meet in one bucket; beyond so many buckets (400 GB) they grow instead.
+BUCKET_BYTES, MOST_BUCKETS = 6 << 20, 1 << 16
 SIG_BITS = 40
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(1)
@@ -57,23 +64,30 @@ def bands(most: int = 1 << 40) -> np.ndarray:
 
 
 @lru_cache(None)
-def scheme(band: int) -> tuple[int, int]:
-    """(k, n) of a band: features that may differ, second-level partitions (an even number)."""
+def scheme(band: int) -> tuple[int, int, int, int]:
+    """(k, n, n1, n2) of a band: features that may differ, second-level partitions, first-level ones, and second-level ones in each.
+
+    The smallest sets of the band have so many full partitions that n1 is exceeded by 2.5 standard deviations.
+    """
     lo, hi = int(bands()[band - 1]) + 1, int(bands()[band])
     k = (hi + hi * 4 // 3) // 7
-    n = k + 2 - k % 2
-    while n < 3 * k + 8:
-        empty = n * np.exp(-lo / n)
-        if n - k > empty + 3 * np.sqrt(empty) + 0.04 * n:
-            break
-        n += 2
-    return k, n
+    n = max(48, lo * 3 // 2)
+    none, two = np.exp(lo * np.log1p(-1 / n)), np.exp(lo * np.log1p(-2 / n))
+    spare = n * (1 - none) - k - 2.5 * np.sqrt(max(0.0, n * (n - 1) * two + n * none - (n * none) ** 2))
+    n2 = -(-n // max(1, int(spare)))
+    return k, n, -(-n // n2), n2
 
 
 def band_of(size: np.ndarray) -> np.ndarray:
     return np.searchsorted(bands(), size, "left")
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges start[i] .. start[i] + size[i], one range after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(size.sum())
+
+
 def set_keys(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A 64-bit key of each set of hashes, as signed numbers."""
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h), dtype=np.uint64)])
@@ -89,33 +103,41 @@ def signatures(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     own = band_of(size)
     lowest = band_of(-(-size * 3 // 4))
     mixed = mix(h)
+
+    def give(x: np.ndarray, sets: np.ndarray) -> None:
+        sigs.append(mix(x) >> np.uint64(64 - SIG_BITS))
+        owner.append(sets)
+
     for step in range(4):
         sets = some[own[some] - step >= lowest[some]]
         if not len(sets):
             break
         band = own[sets] - step
-        kn = np.array([scheme(b) for b in band.tolist()], np.int64)
-        k, n = kn[:, 0], kn[:, 1]
-        if len(sets) == len(some) == len(size):
-            idx = np.arange(len(h))
-        else:
-            idx = np.repeat(off[sets] - np.concatenate([[0], np.cumsum(size[sets])[:-1]]), size[sets]) + np.arange(size[sets].sum())
+        kinds, at_kind = np.unique(band, return_inverse=True)
+        k, n, n1, n2 = np.array([scheme(b) for b in kinds.tolist()], np.int64).T[:, at_kind]
+        idx = ranges(off[sets], size[sets])
         part = ((h[idx] >> np.uint64(32)) * np.repeat(n, size[sets]).astype(np.uint64)) >> np.uint64(32)
         row = np.repeat(np.arange(len(sets)), size[sets])
         new = np.ones(len(idx), bool)
         new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
         at = np.flatnonzero(new)
-        content = np.add.reduceat(mixed[idx], at)
-        tag = mix(part[at] << np.uint64(16) | band[row[at]].astype(np.uint64))
-        sigs.append(mix(content ^ tag) >> np.uint64(64 - SIG_BITS))
-        owner.append(sets[row[at]])
-        full = np.bincount(row[at], minlength=len(sets))
-        left = n - k - 1 - (n - full)
-        slack[sets] = np.minimum(slack[sets], left)
-        for i in np.flatnonzero(left < 0).tolist():  # too many empty partitions: these count as signatures
-            empty = np.setdiff1d(np.arange(n[i]), part[at[row[at] == i]].astype(np.int64)).astype(np.uint64)
-            sigs.append(mix(mix(empty << np.uint64(16) | np.uint64(band[i])) + np.uint64(1)) >> np.uint64(64 - SIG_BITS))
-            owner.append(np.full(len(empty), sets[i]))
+        part, row = part[at].astype(np.int64), row[at]
+        content = mix(np.add.reduceat(mixed[idx], at) ^ mix(part.astype(np.uint64) << np.uint64(16) | band[row].astype(np.uint64)))
+        first = row * (int(n1.max()) + 1) + part // n2[row]
+        for d in range(1, len(first)):
+            i = np.flatnonzero(first[d:] == first[:-d])
+            if not len(i):
+                break
+            give(content[i] * _ODD + content[i + d], sets[row[i]])
+        full = np.bincount(row, minlength=len(sets))
+        left = full - k - n1
+        slack[sets] = np.minimum(slack[sets], left - 1)
+        few = left <= 0
+        one = few[row]
+        give(content[one], sets[row[one]])
+        for i in np.flatnonzero(few & (full <= k)).tolist():  # too many empty partitions: these count as signatures
+            empty = np.setdiff1d(np.arange(n[i]), part[row == i]).astype(np.uint64)
+            give(mix(empty << np.uint64(16) | np.uint64(band[i])) + np.uint64(1), np.full(len(empty), sets[i]))
     if not sigs:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), slack
     return np.concatenate(sigs), np.concatenate(owner), slack
@@ -146,30 +168,64 @@ def may_link(a: bytes, b: bytes, na: int, nb: int) -> bool:
     return 7 * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= na + nb
 
 
-def pack(sig: np.ndarray, owner: np.ndarray, hot: np.ndarray, keys: np.ndarray) -> bytes:
-    """Sorted signatures, delta-coded, with the owners' keys listed once."""
-    order = np.argsort(sig)
-    sig, hot = sig[order], hot[order]
-    used, idx = np.unique(owner[order], return_inverse=True)
-    d = np.diff(sig, prepend=np.uint64(0))
-    cols = [d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, i].tobytes() for i in range(5)]
-    body = b"".join(cols) + (idx << 1 | hot).astype("<u4").tobytes() + keys[used].astype("<i8").tobytes()
-    return len(sig).to_bytes(4, "little") + zlib.compress(body, 1)
+def pack(sig: np.ndarray, idx: np.ndarray, keys: np.ndarray) -> bytes:
+    """Ascending signatures, delta-coded, with twice their owner's number (odd: of a crowded group); owners' keys are listed once.
+
+    Bytes stand in columns; only the highest columns, which are mostly zero, are compressed.
+    """
+    head, body = [len(sig).to_bytes(4, "little")], []
+    for x in (np.diff(sig, prepend=np.uint64(0)), idx.astype(np.uint64)):
+        wide = max(1, (int(x.max()).bit_length() + 7) // 8)
+        cols = x.astype("<u8").view(np.uint8).reshape(-1, 8)
+        top = zlib.compress(cols[:, wide - 1].tobytes(), 1)
+        head.append(wide.to_bytes(1, "little") + len(top).to_bytes(4, "little"))
+        body += [cols[:, i].tobytes() for i in range(wide - 1)] + [top]
+    return b"".join(head + body) + keys.astype("<i8").tobytes()
 
 
 def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(b[:4], "little")
-    body = np.frombuffer(zlib.decompress(b[4:]), np.uint8)
-    d = np.zeros((n, 8), np.uint8)
-    for i in range(5):
-        d[:, i] = body[i * n : (i + 1) * n]
-    sig = np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
-    idx = body[5 * n : 9 * n].view("<u4")
-    return sig, body[9 * n :].view("<i8")[idx >> 1], (idx & 1).astype(bool)
-
-
-OUT = "kind int, doc_id long, n long, key long, slack int, sketch binary, bucket int, payload binary"
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+    """(signatures, keys, hot)."""
+    n, at, out = int.from_bytes(b[:4], "little"), 14, []
+    for w in (4, 9):
+        wide, top = b[w], int.from_bytes(b[w + 1 : w + 5], "little")
+        x = np.zeros((n, 8), np.uint8)
+        for i in range(wide - 1):
+            x[:, i] = np.frombuffer(b, np.uint8, n, at)
+            at += n
+        x[:, wide - 1] = np.frombuffer(zlib.decompress(b[at : at + top]), np.uint8)
+        at += top
+        out.append(x.view("<u8").ravel())
+    keys = np.frombuffer(b, np.uint8, len(b) - at, at).view("<i8") if len(b) > at else np.zeros(0, np.int64)
+    return np.cumsum(out[0], dtype=np.uint64), keys[(out[1] >> np.uint64(1)).astype(np.int64)], (out[1] & np.uint64(1)).astype(bool)
+
+
+def grouped(sig: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (signature, owner's number) in order."""
+    low = max(1, int(owner.max()).bit_length()) if len(owner) else 1
+    if SIG_BITS + low > 64:  # more owners than a packed number holds
+        order = np.lexsort((owner, sig))
+        s, o = sig[order], owner[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1])
+        return s[new], o[new]
+    v = np.sort(sig << np.uint64(low) | owner.astype(np.uint64))
+    v = v[np.concatenate([[True], v[1:] != v[:-1]])] if len(v) else v
+    return v >> np.uint64(low), (v & np.uint64((1 << low) - 1)).astype(np.int64)
+
+
+def unique_pairs(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of different numbers below ``most``."""
+    x, y = np.divmod(np.unique(a * most + b), most) if len(a) else (a, b)
+    return x[x != y], y[x != y]
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u, n = np.unique(keys, return_counts=True)
+    return u, n.astype(np.int64)
+
+
+OUT = "kind int, doc_id long, n long, key long, h long, slack int, sketch binary, bucket int, payload binary"
+_KINDS = [pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.binary(), pa.int32(), pa.binary()]
 DOC, SET, SIGS, STAR, GROUP, CROWDED = range(6)
 
 
@@ -189,51 +245,50 @@ def _emit(buckets: int):
             keys = set_keys(h, off)
             _, first = np.unique(keys, return_index=True)  # equal sets of a chunk are one
             first = np.sort(first[np.diff(off)[first] > 0])
-            idx = np.repeat(off[first] - np.concatenate([[0], np.cumsum(np.diff(off)[first])[:-1]]), np.diff(off)[first]) + np.arange(np.diff(off)[first].sum())
+            idx = ranges(off[first], np.diff(off)[first])
             sub, sub_off, sub_keys = h[idx], np.concatenate([[0], np.cumsum(np.diff(off)[first])]), keys[first]
             sig, owner, slack = signatures(sub, sub_off)
             for a in range(0, len(first), 4096):
                 r = range(a, min(a + 4096, len(first)))
                 yield _rows(OUT, _KINDS, kind=np.full(len(r), SET), key=sub_keys[r.start : r.stop], n=np.diff(sub_off)[r.start : r.stop], slack=np.clip(slack[r.start : r.stop], -1, 1 << 20), sketch=[sketch(sub[sub_off[i] : sub_off[i + 1]]) for i in r], bucket=(sub_keys[r.start : r.stop] % buckets))
-            # signatures that many sets of this chunk share: their rows go on directly, one set stands for them in the bucket
-            order = np.argsort(sig, kind="stable")
-            s, o = sig[order], owner[order]
+            del sub
+            # signatures that many sets of this chunk share: pairs with the least key go on directly, it stands for all in the bucket
+            order = np.argsort(sub_keys)  # owners in the order of their keys: the least of a group comes first
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            sub_keys = sub_keys[order]
+            s, o = grouped(sig, rank[owner])
+            del sig, owner, order
             head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
             count = np.diff(np.concatenate([head, [len(s)]]))
             many = np.repeat(count > LOCAL, count)
             if many.any():
-                for a in range(0, int(many.sum()), 50_000):
-                    ms, mo = s[many][a : a + 50_000], o[many][a : a + 50_000]
-                    yield _rows(OUT, _KINDS, kind=np.full(len(ms), CROWDED), n=ms.astype(np.int64), key=sub_keys[mo], bucket=(sub_keys[mo] % buckets))
-                lead = np.zeros(len(s), bool)
-                lead[head] = True
-                least = np.minimum.reduceat(sub_keys[o], head)
-                ml = np.repeat(least, count)[many]
-                star = np.unique(np.stack([ml, sub_keys[o[many]]]), axis=1)
-                star = star[:, star[0] != star[1]]
-                for a in range(0, star.shape[1], 50_000):
-                    p = star[:, a : a + 50_000]
-                    yield _rows(OUT, _KINDS, kind=np.full(p.shape[1], STAR), n=p[0], key=p[1], bucket=(p[1] % buckets))
-                # the least key stands for its group
-                pos = {int(k): i for i, k in enumerate(sub_keys.tolist())}
-                stand = np.array([pos[int(x)] for x in least.tolist()])
-                keep = ~many | lead
-                o = np.where(many, np.repeat(stand, count), o)
+                sat, times = counted(o[many])
+                yield _rows(OUT, _KINDS, kind=np.full(len(sat), CROWDED), n=times, key=sub_keys[sat], bucket=(sub_keys[sat] % buckets))
+                x, y = unique_pairs(np.repeat(o[head], count)[many], o[many], len(sub_keys))
+                for a in range(0, len(x), 50_000):
+                    p, q = sub_keys[x[a : a + 50_000]], sub_keys[y[a : a + 50_000]]
+                    yield _rows(OUT, _KINDS, kind=np.full(len(p), STAR), n=p, key=q, bucket=(q % buckets))
+                keep = ~many
+                keep[head] = True
                 s, o, many = s[keep], o[keep], many[keep]
-            b = (s % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(b, kind="stable")
-            cut = np.searchsorted(b[by], np.arange(buckets + 1))
+            start = np.array([-(-(i << SIG_BITS) // buckets) for i in range(buckets + 1)], np.uint64)  # a bucket is a range of signatures
+            cut = np.searchsorted(s, start)
             got = [i for i in range(buckets) if cut[i + 1] > cut[i]]
             for a in range(0, len(got), 64):
-                part = got[a : a + 64]
-                yield _rows(OUT, _KINDS, kind=np.full(len(part), SIGS), bucket=np.array(part), payload=[pack(s[x], o[x], many[x].astype(np.int64), sub_keys) for i in part for x in (by[cut[i] : cut[i + 1]],)])
+                part, body = got[a : a + 64], []
+                for i in part:
+                    x = slice(cut[i], cut[i + 1])
+                    used, idx = np.unique(o[x], return_inverse=True)
+                    body.append(pack(s[x] - start[i], idx << 1 | many[x], sub_keys[used]))
+                yield _rows(OUT, _KINDS, kind=np.full(len(part), SIGS), bucket=np.array(part), payload=body)
             hs.clear()
             sizes.clear()
 
         for part, buf, off in chunks(batches, "text"):
             h, o = shingles(Words(buf, off, SPACED), K)
             keys = set_keys(h, o)
-            yield _rows(OUT, _KINDS, kind=np.full(part.num_rows, DOC), doc_id=part.column(0).cast(pa.int64()), n=np.diff(o), key=keys, bucket=(keys % buckets))
+            yield _rows(OUT, _KINDS, kind=np.full(part.num_rows, DOC), doc_id=part.column(0).cast(pa.int64()), h=part.column(2), n=np.diff(o), key=keys, bucket=(keys % buckets))
             hs.append(h)
             sizes.append(np.diff(o))
             size += len(h)
@@ -246,8 +301,8 @@ def _emit(buckets: int):
     return run
 
 
-MET = "kind int, doc_id long, n long, key long, slack int, sketch binary, members array<long>"
-_MET = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+MET = "kind int, doc_id long, n long, key long, h long, slack int, sketch binary, members array<long>"
+_MET = [pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.binary(), pa.list_(pa.int64())]
 
 
 def _meet(t: pa.Table) -> pa.Table:
@@ -255,42 +310,36 @@ def _meet(t: pa.Table) -> pa.Table:
     t = t.combine_chunks()
     kind = t.column("kind").to_numpy()
     rest = t.filter(pa.array(kind != SIGS))
-    out = [_rows(MET, _MET, **{c: rest.column(c).combine_chunks() for c in ("kind", "doc_id", "n", "key", "slack", "sketch")})]
+    out = [_rows(MET, _MET, **{c: rest.column(c).combine_chunks() for c in ("kind", "doc_id", "n", "key", "h", "slack", "sketch")})]
     packed = t.filter(pa.array(kind == SIGS)).column("payload")
     if len(packed):
         parts = [unpack(b.as_py()) for b in packed]
         sig, key, hot = (np.concatenate(x) for x in zip(*parts))
         del parts
-        # only signatures that come twice
-        order = np.argsort(sig, kind="stable")
-        s = sig[order]
-        same = s[1:] == s[:-1]
+        known, idx = np.unique(key, return_inverse=True)
+        led = np.unique(sig[hot])  # of crowded groups
+        s, idx = grouped(sig, idx)
+        del sig, key
+        same = s[1:] == s[:-1]  # only signatures that come twice go on, and crowded ones
         twice = np.zeros(len(s), bool)
         twice[1:] |= same
         twice[:-1] |= same
-        order = order[twice]
-        s, key, hot = sig[order], key[order], hot[order]
-        order = np.lexsort((key, s))
-        s, key, hot = s[order], key[order], hot[order]
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (key[1:] != key[:-1])
-        hot = np.maximum.reduceat(hot, np.flatnonzero(new)) if len(s) else hot
-        s, key = s[new], key[new]
+        s, idx = s[twice], idx[twice]
+        key = known[idx]
         head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
         count = np.diff(np.concatenate([head, [len(s)]]))
         each = np.repeat(count, count)
-        star = np.stack([np.repeat(key[head], count), key])[:, each > 1]
-        star = np.unique(star[:, star[0] != star[1]], axis=1)
-        out.append(_rows(MET, _MET, kind=np.full(star.shape[1], STAR), n=star[0], key=star[1]))
-        crowded = (np.repeat(np.maximum.reduceat(hot, head), count) if len(s) else hot.astype(bool)) | (each > CROWD)
-        crowded &= (each > 1) | hot
-        out.append(_rows(MET, _MET, kind=np.full(int(crowded.sum()), CROWDED), n=s[crowded].astype(np.int64), key=key[crowded]))
+        x, y = unique_pairs(np.repeat(idx[head], count), idx, len(known))
+        out.append(_rows(MET, _MET, kind=np.full(len(x), STAR), n=known[x], key=known[y]))
+        crowded = np.isin(s, led) | (each > CROWD)
+        held, times = counted(key[crowded])
+        out.append(_rows(MET, _MET, kind=np.full(len(held), CROWDED), n=times, key=held))
         small = np.flatnonzero((count > 2) & ~crowded[head]) if len(s) else head
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(key.view(np.uint64)), dtype=np.uint64)])
         _, pick = np.unique(total[head[small] + count[small]] - total[head[small]], return_index=True)
         small = small[pick]
         if len(small):
-            idx = np.repeat(head[small] - np.concatenate([[0], np.cumsum(count[small])[:-1]]), count[small]) + np.arange(count[small].sum())
+            idx = ranges(head[small], count[small])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count[small])]), pa.int32()), pa.array(key[idx]))
             out.append(_rows(MET, _MET, kind=np.full(len(small), GROUP), members=lists))
     return pa.Table.from_batches(out)
@@ -319,25 +368,62 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links among candidate pairs (a, b), by whole texts."""
+#: Bits of the filter that keeps texts nobody asks for out of a shuffle (8 MB), and of one block of it.
+FILTER_BITS, FILTER_BLOCK = 26, 20
+
+
+def _bits(t: pa.Table) -> pa.Table:
+    at = t.column("at").to_numpy() & ((1 << FILTER_BLOCK) - 1)
+    bits = np.zeros(1 << FILTER_BLOCK, bool)
+    bits[at] = True
+    return pa.table({"block": t.column("block").slice(0, 1).cast(pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def _texts(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """(key, text) for ``need(key, doc_id)``.  Only rows that pass a Bloom filter of the wanted ids, of fixed size, are shuffled."""
+    spark = docs.sparkSession
+    need = written(need, "partenum-need")
+    places = lambda c: [F.shiftrightunsigned(F.xxhash64(c, F.lit(i)), 64 - FILTER_BITS) for i in range(3)]
+    at = need.select(F.explode(F.array(*places(F.col("doc_id").cast("long")))).alias("at")).distinct()
+    blocks = at.withColumn("block", F.shiftright("at", FILTER_BLOCK).cast("int")).groupBy("block").applyInArrow(_bits, "block int, bits binary").collect()
+    table = bytearray(1 << (FILTER_BITS - 3))
+    for r in blocks:
+        table[r.block << (FILTER_BLOCK - 3) : (r.block + 1) << (FILTER_BLOCK - 3)] = r.bits
+    known = spark.sparkContext.broadcast(bytes(table))
+
+    def wanted(*places: pa.Array) -> pa.Array:
+        bits = np.frombuffer(known.value, np.uint8)
+        ok = np.ones(len(places[0]), bool)
+        for p in places:
+            p = p.to_numpy()
+            ok &= (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
+        return pa.array(ok)
+
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    some = some.where(F.arrow_udf(wanted, "boolean")(*places(F.col("doc_id"))))
+    out = written(some.join(need, "doc_id").transform(mapped(_own_text, "key long, text string")).groupBy("key").agg(F.first("text").alias("text")), "partenum-texts")
+    known.destroy()
+    return out
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, source) -> DataFrame:
+    """Links among candidate pairs (a, b), by whole texts: ``source`` gives (key, text) for (key, doc_id)."""
     side = lambda s: sets.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     p = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
-    p = written(p.mapInArrow(_plausible, "a long, b long"), "partenum-pairs")
+    p = written(p.transform(mapped(_plausible, "a long, b long")), "partenum-pairs")
     need = p.select("a").union(p.select("b")).distinct().join(sets, F.col("a") == F.col("key")).select("key", F.col("rep").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(need, "doc_id").mapInArrow(_own_text, "key long, text string").groupBy("key").agg(F.first("text").alias("text"))
-    texts = written(texts, "partenum-texts")
+    texts = source(need)
     p = p.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-    return written(p.select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long"), "partenum-links")
+    return written(p.select("a", "b", "ta", "tb").transform(mapped(_linked, "a long, b long")), "partenum-links")
 
 
 def _blocks(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     """One block of a crowd: keys, components, sizes and sorted hashes of its sets."""
     t = t.combine_chunks()
-    buf, off = flat(t.column("text"))
-    h, o = shingles(Words(buf, off, SPACED), K)
+    hashes = [x.as_py() for x in t.column("hashes")]
+    o = np.concatenate([[0], np.cumsum([len(x) // 8 for x in hashes])])
     raw = lambda x: x.astype("<i8").tobytes()
-    row = [*(k.as_py() for k in key), raw(t.column("key").to_numpy()), raw(t.column("comp").to_numpy()), raw(o), h.astype("<u8").tobytes()]
+    row = [*(k.as_py() for k in key), raw(t.column("key").to_numpy()), raw(t.column("comp").to_numpy()), raw(o), b"".join(hashes)]
     kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 4
     return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["crowd", "cells", "block", "keys", "comps", "off", "hashes"])
 
@@ -379,38 +465,115 @@ def _crowd_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 BLOCK = 1024
+#: Cells in which features are counted: 8 MB, cut into blocks to add up.
+SLOT_BITS, SLOT_BLOCKS = 20, 64
 
 
-def _crowds(crowd: DataFrame, comp: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links within crowds: sets that crowded signatures tie together, compared block against block.
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for part, buf, off in chunks(batches, "text"):
+        h, _ = shingles(Words(buf, off, SPACED), K)
+        total += np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+    for i, x in enumerate(np.split(total, SLOT_BLOCKS)):
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.astype("<i8").tobytes()], pa.binary())], ["block", "counts"])
 
-    Comparing takes a few nanoseconds a pair (a popcount over sketches) and no
-    pair becomes a row; rows are blocks.  Only sets without slack come here.
+
+def _summed(t: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py(), "<i8") for x in t.column("counts"))
+    return pa.table({"block": pa.array([t.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+
+
+def _rarest(known):
+    """(f, key): of each set so many of its rarest features that similar sets have one of them in common; those that no other set holds are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(known.value, "<i8")
+        for part, buf, off in chunks(batches, "text"):
+            h, o = shingles(Words(buf, off, SPACED), K)
+            size = np.diff(o)
+            often = table[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((h, often, row))
+            place = np.arange(len(h)) - np.repeat(o[:-1], size)
+            take = order[(place <= np.repeat(size - -(-3 * size // 4), size)) & (often[order] > 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(part.column(0).to_numpy()[row[take]])], ["f", "key"])
+
+    return run
+
+
+def _rooted(df: DataFrame, comp: DataFrame, key: str, name: str) -> DataFrame:
+    c = comp.select(F.col("node").alias(key), F.col("root").alias(name))
+    return df.join(c, key, "left").withColumn(name, F.coalesce(name, key))
+
+
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    return _rooted(_rooted(pairs, comp, "a", "ra"), comp, "b", "rb").where("ra <> rb").select("a", "b")
+
+
+def _across(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components within small groups ``(g, key)``."""
+    m = _rooted(groups, comp, "key", "root").groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.array_sort(F.collect_set(F.struct("root", "key"))).alias("m")).where("x <> y")
+    across = F.transform("m", lambda p: F.transform(F.filter("m", lambda q: (q["root"] != p["root"]) & (q["key"] > p["key"])), lambda q: F.struct(p["key"].alias("a"), q["key"].alias("b"))))
+    return m.select(F.explode(F.flatten(across)).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _held_apart(held: DataFrame, links: DataFrame, comp: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links, with those among sets that crowded groups hold, found by their rarest features.
+
+    How often a feature occurs is counted in ``2**SLOT_BITS`` cells of fixed
+    size: equal cells only change which features count as rare, never a result.
     """
     spark = docs.sparkSession
-    lead = crowd.groupBy("sig").agg(F.min("key").alias("a"))
-    tied = written(components(crowd.join(lead, "sig").select("a", F.col("key").alias("b")).where("a <> b").distinct()), "partenum-crowds")
-    keys = crowd.select("key").distinct().join(tied.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("crowd"))
-    keys = keys.join(comp.select(F.col("node").alias("key"), F.col("root").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    keys = keys.join(sets.select("key", "n", F.col("rep").alias("doc_id")), "key")
+    texts = _texts(docs, held.join(sets, "key").select("key", F.col("rep").alias("doc_id")))
+    source = lambda need: texts.join(need.select("key"), "key")
+    counts = texts.transform(mapped(_frequencies, "block int, counts binary")).groupBy("block").applyInArrow(_summed, "block int, counts binary")
+    known = spark.sparkContext.broadcast(b"".join(r.counts for r in sorted(counts.collect(), key=lambda r: r.block)))
+    rare = written(texts.transform(mapped(_rarest(known), "f long, key long")), "partenum-rare")
+    known.destroy()
+    mixed = lambda e: e.groupBy("f").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("key").alias("a"), F.count("*").alias("c")).where("x <> y")
+    rooted = _rooted(rare, comp, "key", "root")
+    rows = written(rooted.join(mixed(rooted).select("f", "a", "c"), "f").select("f", "key", "a", "c"), "partenum-mixed")
+    if rows.isEmpty():
+        return links
+    star = rows.select("a", F.col("key").alias("b")).where("a <> b").distinct()
+    links = links.union(_verified(_apart(star, comp), sets, source))
+    comp = written(components(links), "partenum-comp")
+    small = rows.where(F.col("c") <= CROWD).select(F.col("f").alias("g"), "key")
+    links = links.union(_verified(_across(small, comp), sets, source))
+    comp = written(components(links), "partenum-comp")
+    large = _rooted(rows.where(F.col("c") > CROWD).select("f", "key"), comp, "key", "root")
+    left = large.join(mixed(large).select("f"), "f", "left_semi").select("f", "key")
+    alike = left.groupBy("f").agg(F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("x"), F.count("*").alias("c")).groupBy("x", "c").agg(F.min("f").alias("f")).select("f")
+    left = written(left.join(alike, "f", "left_semi"), "partenum-crowd")
+    if not left.isEmpty():
+        links = links.union(_crowds(left.withColumnRenamed("f", "crowd"), comp, texts))
+    return links
+
+
+def _crowds(keys: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links within crowds ``(crowd, key)`` that hold several components still, compared block against block.
+
+    Comparing takes a few nanoseconds a pair (a popcount over sketches) and no
+    pair becomes a row; rows are blocks.  Only sets all of whose rare features
+    are crowded come here.
+    """
+    spark = keys.sparkSession
     size = keys.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    cells = F.greatest(F.lit(4), F.length(F.regexp_replace(F.bin(2 * F.col("n")), "^0+", ""))).cast("int")
-    keys = keys.join(size, "crowd").select("doc_id", "key", "comp", "crowd", cells.alias("cells"), F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"))
-    texts = docs.select("doc_id", "text").join(keys, "doc_id").select("doc_id", "text", "key", "comp", "crowd", "cells", "block")
-    own = texts.mapInArrow(_own_rows, "text string, key long, comp long, crowd long, cells int, block int").dropDuplicates(["key"])
+    keys = _rooted(keys, comp, "key", "comp").join(size, "crowd").select("key", "comp", "crowd", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"))
+    own = texts.transform(mapped(_hashed, "key long, cells int, hashes binary")).join(keys, "key")
     blocks = written(own.groupBy("crowd", "cells", "block").applyInArrow(_blocks, "crowd long, cells int, block int, keys binary, comps binary, off binary, hashes binary"), "partenum-blocks")
     side = lambda k: blocks.select("crowd", F.struct("cells", "block", "keys", "comps", "off", "hashes").alias(k))
     met = side("x").join(side("y"), "crowd").where("(x.cells = y.cells and x.block <= y.block) or x.cells + 1 = y.cells")
     met = met.repartition(partitions(spark), "crowd", "x.cells", "x.block", "y.cells", "y.block")
-    return written(met.select("x", "y").mapInArrow(_crowd_links, "a long, b long"), "partenum-links")
+    return written(met.select("x", "y").transform(mapped(_crowd_links, "a long, b long")), "partenum-links")
 
 
-def _own_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for part, buf, off in chunks(iter([b]), "text"):
-            h, o = shingles(Words(buf, off, SPACED), K)
-            ok = pa.array(set_keys(h, o) == part.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays(part.columns[1:], part.schema.names[1:]).filter(ok)
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, cells: of its sketch as a power of two, sorted hashes) of (key, text)."""
+    for part, buf, off in chunks(batches, "text"):
+        h, o = shingles(Words(buf, off, SPACED), K)
+        cells = [max(4, (2 * int(n)).bit_length()) for n in np.diff(o)]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.int32()), pa.array([h[x:y].astype("<u8").tobytes() for x, y in zip(o[:-1], o[1:])], pa.binary())], ["key", "cells", "hashes"])
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,53 +585,48 @@ def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(2), part.column(1)], ["key", "text"]).filter(ok)
 
 
-def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text)``.
-
-    Rows with equal sets are linked.  Texts without words have no shingles and
-    link with nothing: their component is their own id.  Repeated rows are in
-    one component.  A null id never names a component unless all its rows have
-    null ids.  An empty table gives no rows; other columns are ignored.
-    """
+def _components(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, key, h: hash of the text) of ``docs``, the least doc_id of each set (key, rep), and the components of sets (node, root)."""
     spark = docs.sparkSession
-    buckets = buckets or 2 * partitions(spark)
-    met = docs.select("doc_id", "text").mapInArrow(_emit(buckets), OUT).groupBy("bucket").applyInArrow(_meet_bucket, MET)
+    if not buckets:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = min(MOST_BUCKETS, max(1, -(-size // BUCKET_BYTES)))
+    met = docs.select("doc_id", "text", F.xxhash64("text")).transform(mapped(_emit(buckets), OUT)).groupBy("bucket").applyInArrow(_meet_bucket, MET)
     met = written(met, "partenum-met")
-    rows = met.where(F.col("kind") == DOC).select("doc_id", "n", "key")
+    rows = met.where(F.col("kind") == DOC).select("doc_id", "n", "key", "h")
     reps = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     sets = met.where(F.col("kind") == SET).groupBy("key").agg(F.min("n").alias("n"), F.min("slack").alias("slack"), F.min("sketch").alias("sketch"))
     star = written(met.where(F.col("kind") == STAR).select(F.col("n").alias("a"), F.col("key").alias("b")).distinct(), "partenum-star")
-    lone = star.select(F.col("a").alias("key")).union(star.select("b")).union(met.where(F.col("kind") == GROUP).select(F.explode("members"))).union(met.where(F.col("kind") == CROWDED).select("key")).distinct()
+    crowd = met.where(F.col("kind") == CROWDED).groupBy("key").agg(F.sum("n").alias("times"))
+    lone = star.select(F.col("a").alias("key")).union(star.select("b")).distinct()
     sets = written(sets.join(lone, "key", "left_semi").join(reps, "key"), "partenum-sets")  # a null rep (null ids only) stays
 
     first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = _verified(first, sets, docs)
+    source = lambda need: _texts(docs, need)
+    links = _verified(first, sets, source)
     comp = written(components(links), "partenum-comp")
-
-    def rooted(df: DataFrame, key: str, name: str) -> DataFrame:
-        c = comp.select(F.col("node").alias(key), F.col("root").alias(name))
-        return df.join(c, key, "left").withColumn(name, F.coalesce(name, key))
-
-    apart = lambda df: rooted(rooted(df, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
-    groups = met.where(F.col("kind") == GROUP).select("members").distinct().withColumn("g", F.xxhash64("members"))
-    spread = rooted(groups.select("g", F.explode("members").alias("key")), "key", "root").groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.array_sort(F.collect_set(F.struct("root", "key"))).alias("m")).where("x <> y")
-    cross = spread.select(F.explode(F.flatten(F.transform("m", lambda p: F.transform(F.filter("m", lambda q: (q["root"] != p["root"]) & (q["key"] > p["key"])), lambda q: F.struct(p["key"].alias("a"), q["key"].alias("b")))))).alias("p")).select("p.a", "p.b")
-    more = apart(star.join(first, ["a", "b"], "left_anti")).union(cross).distinct()
-    links = links.union(_verified(more, sets, docs))
+    groups = met.where(F.col("kind") == GROUP).select("members").distinct().select(F.xxhash64("members").alias("g"), F.explode("members").alias("key"))
+    more = _apart(star.join(first, ["a", "b"], "left_anti"), comp).union(_across(groups, comp)).distinct()
+    links = links.union(_verified(more, sets, source))
     comp = written(components(links), "partenum-comp")
-
-    crowd = met.where(F.col("kind") == CROWDED).select(F.col("n").alias("sig"), "key").distinct()
-    mixed = lambda c: c.join(rooted(c, "key", "root").groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig"), "sig", "left_semi")
-    crowd = mixed(crowd)
-    heavy = crowd.groupBy("key").agg(F.count("*").alias("h")).join(sets.select("key", "slack"), "key").where("h > slack").select("key")
-    crowd = crowd.join(heavy, "key", "left_semi")
-    alike = crowd.groupBy("sig").agg(F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("x"), F.count("*").alias("c")).groupBy("x", "c").agg(F.min("sig").alias("sig")).select("sig")
-    crowd = written(mixed(crowd.join(alike, "sig", "left_semi")), "partenum-crowd")
-    if not crowd.isEmpty():
-        links = links.union(_crowds(crowd, comp, sets, docs))
+    held = written(crowd.join(sets.select("key", "slack"), "key").where("times > slack").select("key"), "partenum-heavy")
+    if not held.isEmpty():
+        links = _held_apart(held, links, comp, sets, docs)
         comp = written(components(links), "partenum-comp")
+    return rows, reps, comp
+
+
+def join(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text)``.
 
-    class_root = rooted(reps, "key", "root")
+    Rows with equal sets are linked.  Texts without words have no shingles and
+    link with nothing: their component is their own id.  Repeated rows are in
+    one component.  A null id never names a component unless all its rows have
+    null ids, and rows with a null id link with equal sets only.  An empty table
+    gives no rows; other columns are ignored.
+    """
+    rows, reps, comp = _components(docs, buckets)
+    class_root = _rooted(reps, comp, "key", "root")
     least = class_root.groupBy("root").agg(F.min("rep").alias("component_id"))
     names = class_root.join(least, "root").select("key", "component_id")
     return rows.join(names, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -481,15 +639,24 @@ def _meet_bucket(t: pa.Table) -> pa.Table:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: that whose id names it; of rows that repeat the id, one.
+    """One row of each component of :func:`join`, decided row by row, with all columns.
 
-    Rows with a null id all stay: no id names them.
+    It is the row with the smallest ``doc_id`` (of several, that of the smallest
+    hash of the text; null ids come last), and one of those that repeat both.
+    Rows that share an identifier but no words are apart, and rows without words
+    are in no component: all of them stay.  An empty table gives no rows.
     """
-    lead = join(docs).where("doc_id = coalesce(component_id, doc_id)").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(lead, "doc_id", "left_semi").select(*docs.columns)
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = named.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*docs.columns)
-    return one.union(docs.where("doc_id is null"))
+    rows, _, comp = _components(docs)
+    rooted = _rooted(rows.where("n > 0"), comp, "key", "root")
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")).alias("m"))
+    name = "h"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    best = best.select(F.col("m.doc_id").alias("best_id"), F.col("m.h").alias("best_h"))
+    bare = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*\z")
+    worded = docs.where(~bare).withColumn(name, F.xxhash64("text"))
+    kept = worded.join(best, worded.doc_id.eqNullSafe(best.best_id) & (worded[name] == best.best_h), "left_semi")
+    return kept.dropDuplicates(["doc_id", name]).select(*docs.columns).union(docs.where(bare))
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import LENGTH, Runs, windows_of
-from .common import flat, gathered, give_back, partitions, scratch_path, written
+from .common import flat, gathered, give_back, mapped, partitions, scratch_path, written
 from .sstable import opened
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 SLICE = 1 << 20
 #: Contexts of one beginning in a chunk before one stands for them all.
 LOCAL = 64
@@ -197,6 +197,15 @@ def _slices(off: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def _pieces(a: int, b: int, texts: int) -> Iterator[tuple[int, int]]:
+    """The bytes [a, b) of some texts at once; of one long text in pieces that overlap, so that each window is in one of them."""
+    if texts > 1 or b - a <= 2 * SLICE:
+        yield a, b
+        return
+    for x in range(a, b - LENGTH + 1, SLICE):
+        yield x, min(b, x + SLICE + LENGTH - 1)
+
+
 def _top(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(24)
 
@@ -233,12 +242,15 @@ def _first_pass(buckets: int, folder: str):
             ids, known = _ids(table)
             first, last, key, ctx, count = [], [], [], [], []
             for a, b in _slices(off):
-                r = Runs(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-                first.append(r.first + off[a])
-                last.append(r.last + off[a])
-                key.append(_top(r.key))
-                ctx.append(_top(r.context))
-                count.append(np.diff(r.at))
+                runs = 0
+                for x, y in _pieces(int(off[a]), int(off[b]), b - a):
+                    r = Runs(buf[x:y], off[a : b + 1] - off[a] if b - a > 1 else np.array([0, y - x]))
+                    first.append(r.first + x)
+                    last.append(r.last + x)
+                    key.append(_top(r.key))
+                    ctx.append(_top(r.context))
+                    runs = np.diff(r.at) + runs
+                count.append(runs)
             first, last, key, ctx = (np.concatenate(x) for x in (first, last, key, ctx))
             at = np.concatenate([[0], np.cumsum(np.concatenate(count))])
             doc_at = np.repeat(np.arange(len(ids)), np.diff(at))
@@ -445,7 +457,7 @@ def _passes(docs: DataFrame, buckets: int | None) -> DataFrame:
     spark = docs.sparkSession
     buckets = buckets or partitions(spark)
     folder = scratch_path(spark, "suffix-chunks")
-    sent = docs.mapInArrow(_first_pass(buckets, folder), ROWS)
+    sent = docs.transform(mapped(_first_pass(buckets, folder), ROWS))
     runs = written(sent.groupBy("bucket").applyInArrow(_suffix_bucket, ROWS), "suffix-runs")
     asked = runs.groupBy("chunk").applyInArrow(_window_pass(buckets), ROWS)
     return written(asked.groupBy("bucket").applyInArrow(_window_bucket, ROWS), "suffix-windows")

@@ -27,20 +27,26 @@ _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+#: Powers are products of two table entries; this many bits of the exponent stand in the lower table.
+_LOW = 16
+
+
 @lru_cache(1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
+def _powers(high: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """For the hash base and its inverse: powers below 2**_LOW, and ``high`` powers of the 2**_LOW-th."""
     out = []
     for base in (_BASE, _INV):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+        pair = []
+        for step, n in ((int(base), 1 << _LOW), (pow(int(base), 1 << _LOW, 1 << 64), high)):
+            p = np.full(n, step, np.uint64)
+            p[0] = 1
+            pair.append(np.multiply.accumulate(p))
+        out.append(tuple(pair))
+    return tuple(out)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash base's powers and its inverse's, at least ``n`` of them."""
-    return _powers(max(21, int(n).bit_length()))
+def _tables(n: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    return _powers(1 << max(6, (int(n) >> _LOW).bit_length()))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -52,16 +58,38 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def prefix(values: np.ndarray) -> np.ndarray:
     """H with H[i] = sum of (values[j] + 1) * base**j below i, modulo 2**64."""
-    p, _ = powers(len(values))
+    (low, high), _ = _tables(len(values))
     h = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * p[: len(values)], out=h[1:])
+    for k, a in enumerate(range(0, len(values), 1 << _LOW)):
+        x = values[a : a + (1 << _LOW)].astype(np.uint64)
+        x += np.uint64(1)
+        x *= low[: len(x)]
+        x *= high[k]
+        x[:1] += h[a : a + 1]
+        np.cumsum(x, out=h[a + 1 : a + 1 + len(x)])
     return h
 
 
 def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the spans [start, end), wherever they stand."""
-    _, inv = powers(len(h))
-    return mix((h[end] - h[start]) * inv[start] + (end - start).astype(np.uint64) * _M2)
+    _, (low, high) = _tables(len(h))
+    inv = low[start & ((1 << _LOW) - 1)] * high[start >> _LOW]
+    return mix((h[end] - h[start]) * inv + (end - start).astype(np.uint64) * _M2)
+
+
+#: Bytes whose hash sums are held at once.
+PIECE = 1 << 20
+
+
+def word_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of ascending words, piece by piece; a word longer than a piece makes its own."""
+    out, a = np.zeros(len(start), np.uint64), 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + PIECE, "right")))
+        at = start[a]
+        out[a:b] = spans(prefix(low[at : end[b - 1]]), start[a:b] - at, end[a:b] - at)
+        a = b
+    return out
 
 
 class Words:
@@ -82,7 +110,7 @@ class Words:
         self.start = np.flatnonzero(at & (~before | cut))
         self.end = np.flatnonzero(before & (~at | cut))
         self.first = np.searchsorted(self.start, off)
-        self.hash = spans(prefix(self.low), self.start, self.end) if n else np.zeros(0, np.uint64)
+        self.hash = word_hashes(self.low, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)

@@ -50,11 +50,10 @@ def tok():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe.default_path())
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
-ODD = ["I'll  don't 's've x'd\n\n  y' s  '' 're", "", " ", "a\t\tb  \n", "it's 12ab3 ½ é'll l'l", "'", "<|endoftext|> hi", "日本語 テキスト'd 😀 !!", " 're're 'r", "x\x00y \x1c z", "'s 'v 'llm"]
+ODD = ["I'll  don't 's've x'd\n\n  y' s  '' 're", "", " ", "a\t\tb  \n", "it's 12ab3 ½ é'll l'l", "'", "<|endoftext|> hi", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n\n<|endoftext", "<|endoftext|>", "日本語 テキスト'd 😀 !!", " 're're 'r", "x\x00y \x1c z", "'s 'v 'llm"]
 
 
 def test_memo_tokenizer_equals_library(tok):
@@ -216,6 +215,29 @@ def test_rollups(spark):
     assert r.commit("d", rollups.changes(df.limit(0), "delete", before=v("t1")))
 
 
+def test_rollups_compact_many_batches(spark):
+    from pyspark.sql import functions as F
+
+    r = rollups.Rollup(spark)
+    v = F.struct(F.lit(None).cast("string").alias("tokenizer"), F.col("tokens"))
+    df = spark.createDataFrame([(None, "en", 3, 1, 2), ("s", None, None, 1, 2)], "source string, lang string, tokens long, docs long, sign long")
+    names = [f"2026-11-26-hour-{i:02}-crawl-part-of-a-long-name" for i in range(14)]
+    for n in names[:12]:
+        assert r.commit(n, rollups.changes(df, "insert", after=v))
+    r.compact()
+    fs, top = r._fs(), r._path("commits")
+    first = [s.getPath() for s in fs.listStatus(top)]
+    assert len(first) == 1 and set(r.batches()) == set(names[:12])
+    assert r.commit(names[12], rollups.changes(df, "insert", after=v)) and not r.commit(names[3], rollups.changes(df, "insert", after=v))
+    r.compact()
+    fs.create(first[0], False).close()  # as if the crash came before the first list's marker went
+    assert set(r.batches()) == set(names[:13]) and not r.commit(names[0], rollups.changes(df, "insert", after=v))
+    assert {(x.source, x.lang, x.tokenizer, x.docs, x.tokens) for x in r.totals().collect()} == {(None, "en", None, 13, 39), ("s", None, None, 13, 0)}
+    assert rollups.counted(empty(spark, ", tokens long, empty int")).count() == 0
+    with pytest.raises(ValueError):
+        r.commit("many", df)
+
+
 def test_rollup_query_matches_counts(spark, tok):
     sf = "/root/testdata/sf0.001"
     want = Counter()
@@ -335,6 +357,42 @@ def test_jaccard_join_odd_tables(spark):
     assert sorted((r.doc_id or 0) for r in partenum.keep_first(df).collect()) == [0, 1]
 
 
+def test_jaccard_join_of_crowds(spark, monkeypatch):
+    """Texts of a common passage with more or less of their own: crowded groups, few links."""
+    r = random.Random(17)
+    v = [f"c{i}" for i in range(2000)]
+    base = [r.choice(v) for _ in range(80)]
+    texts = {i: " ".join(base[: 80 - i % 30] + [r.choice(v) for _ in range(i % 50)]) for i in range(400)}
+    texts |= {i: " ".join(r.choice(v) if r.random() < 0.04 else x for x in base) for i in range(400, 500)}
+    seen = []
+    whole = partenum._crowds
+    monkeypatch.setattr(partenum, "_crowds", lambda *a: seen.append(1) or whole(*a))
+    monkeypatch.setattr(partenum, "BLOCK", 64)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in partenum.join(df).collect()} == brute_components(texts)
+    assert seen  # the exact way for crowds ran
+
+
+def test_keep_first_decides_by_row(spark):
+    a, b = "a b c d e f g", "q r s t u v w"
+    rows = [(1, a, 5), (1, b, 6), (2, a, 7), (2, "", 8), (None, b, 9), (None, None, 10), (None, "m n o", 11), (None, "m n o", 11), (3, " \t", 12), (3, " \t", 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h int")
+    got = partenum.keep_first(df)
+    assert got.columns == df.columns
+    assert Counter(tuple(r) for r in got.collect()) == Counter([(1, a, 5), (1, b, 6), (2, "", 8), (None, None, 10), (None, "m n o", 11), (3, " \t", 12), (3, " \t", 12)])
+    assert partenum.keep_first(df.limit(0)).count() == 0
+
+
+def test_packed_signatures():
+    r = np.random.default_rng(4)
+    for n, top in ((1, 5), (3, 1 << 33), (5000, 1 << 40), (70000, 1 << 36)):
+        s = np.sort(r.integers(0, top, n).astype(np.uint64))
+        idx, hot = r.integers(0, min(n, 4000), n), r.integers(0, 2, n)
+        keys = r.integers(-(1 << 62), 1 << 62, 4000)
+        x, y, z = partenum.unpack(partenum.pack(s, idx << 1 | hot, keys))
+        assert (x == s).all() and (y == keys[idx]).all() and (z == hot.astype(bool)).all()
+
+
 def test_signatures_find_every_similar_pair():
     r = np.random.default_rng(2)
     for size in (1, 4, 9, 40, 200, 1500):
@@ -353,7 +411,7 @@ def test_urls(spark):
     rows = ["http://a.net/", "https://Sub.Example.NET/en/x?q", "http://notexample.net", "http://example.com/de/1", "http://example.com/DE/1", "http://x.org/fr/", "http://spam-farm.example.org/en/1", None, "", "no scheme/net/", "http://x.com/login?a", "http://www.cheap-pills.example.com/en/4", "http://x.net/spam-farm/"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(rows)] + [(0, rows[0], "h")], "page_id long, url string, host string")
     got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(df).collect()]
-    assert Counter(got) == Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(df, inline=0).collect())
+    assert Counter(got) == Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(df, most=0).collect())
     by = {g[0]: g[1:] for g in got}
     assert by[0] == ("a.net", "/", "net/", "block") and by[1] == ("sub.example.net", "/en/x", "example.net/en/", "allow")
     assert by[2] == ("notexample.net", "", None, "allow") and by[3][2:] == ("example.com/de/", "block") and by[4][2:] == (None, "allow")
@@ -374,8 +432,30 @@ def test_url_index_drops_no_branch(spark):
     hit = {r.name for u in rows for r in urls.PATTERN_RULES if re.search(r.pattern, u)}
     assert hit == {r.name for r in urls.PATTERN_RULES} and want["http://shop.example.com/cart"][1] == want["http://xxx.example.com/en/1"][1] == "block"
     df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
-    for inline in (urls.INLINE_RULES, 0):
-        assert {r.url: (r.method_rule, r.verdict) for r in urls.judge(df, urls.PATTERN_RULES, inline).collect()} == want
+    for most in (urls.BROADCAST_BYTES, 0):
+        assert {r.url: (r.method_rule, r.verdict) for r in urls.judge(df, urls.PATTERN_RULES, most).collect()} == want
+    for u in rows:  # every match holds all tokens of one of its rule's branches
+        have = set(re.split("[^a-z0-9]+", u.lower()))
+        for r in urls.PATTERN_RULES:
+            assert not re.search(r.pattern, u) or any(set(b) <= have for b in urls.literals(r.pattern))
+
+
+def test_url_rules_literals(spark):
+    known = {
+        r"/(?:cart|checkout)/?(?:[?#]|$)": {("cart",), ("checkout",)},
+        r"[?&;](?:php)?sessid=": {("sessid",), ("phpsessid",)},
+        r"ab/c[d-f]/x+y-zz$": {("zz",)},
+        r"^a(b|c)*d": {()},
+    }
+    for pattern, want in known.items():
+        assert urls.literals(pattern) == want
+    r = random.Random(5)
+    rules = [urls.Rule(f"rule-{i:04}", "block", rf"://(?:[^/?#]*\.)?(?:h{i}|g{i})\.(?:com|net)/|/p{i}(?:[/?]|$)") for i in range(400)]
+    rules.append(urls.Rule("vague", "block", "zz[0-9]+q"))
+    pages = [f"http://{r.choice(['h', 'g', 'x'])}{r.randrange(500)}.{r.choice(['com', 'net', 'org'])}/{r.choice(['a', f'p{r.randrange(500)}', 'zz12q'])}" for _ in range(150)] + [None]
+    df = spark.createDataFrame([(None if i == 7 else i, u) for i, u in enumerate(pages)], "page_id long, url string")
+    want = Counter((None if i == 7 else i, max((x.name for x in rules if re.search(x.pattern, u or "")), default=None, key=lambda n: (len(n), n))) for i, u in enumerate(pages))
+    assert Counter((x.page_id, x.method_rule) for x in urls.judge(df, rules).collect()) == want
 
 
 def test_embeddings(spark):
@@ -402,6 +482,53 @@ def test_embeddings(spark):
     assert hnsw.near_duplicates(df.limit(0)).count() == 0
 
 
+def brute_vectors(rows, threshold=0.98):
+    """{row number: (n_links, component_id, kept)} of (vec_id, unit vector, label)."""
+    x = np.array([r[1] for r in rows])
+    label = [r[2] for r in rows]
+    hit = (x @ x.T >= threshold) & np.array([[a == b for b in label] for a in label])
+    np.fill_diagonal(hit, False)
+    low = np.array([r[0] for r in rows])
+    while True:
+        new = np.minimum(low, np.where(hit, low[None, :], low.max()).min(1))
+        for i in set(new.tolist()):  # rows of one identifier are one vertex
+            same = [k for k, r in enumerate(rows) if r[0] == i]
+            new[same] = new[same].min()
+        if (new == low).all():
+            break
+        low = new
+    return [(r[0], int(n), int(c), r[0] == c) for r, n, c in zip(rows, hit.sum(1), low)]
+
+
+@pytest.mark.parametrize("shard", [256, 4096])
+def test_embedding_components(spark, shard):
+    """Chains, dense groups wider than a beam, equal vectors, a tie at the threshold, labels of text, clashing columns."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(700, 8))
+    for i in range(300, 340):  # a chain: neighbours are linked, ends are not
+        x[i] = hnsw.unit(x[i - 1 : i])[0] + 0.12 * hnsw.unit(r.normal(size=(1, 8)))[0]
+    x[400:520] = x[5] + 0.1 * r.normal(size=(120, 8))
+    x[600:610] = x[610:620]
+    x[690], x[691] = 0, 0
+    x[690, 0], x[691, :2] = 1.0, (0.98, np.sqrt(1 - 0.98**2))
+    x[692:694], x[694:696] = x[690:692] * 1e200, x[690:692] * 1e-200
+    rows = [(i, [float(f) for f in v], "ab"[i % 7 == 0]) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(*q, 1, 2) for q in rows], "vec_id long, embedding array<double>, label string, shard int, k int")
+    want = brute_vectors([(i, hnsw.unit(np.array([v]))[0], lab) for i, v, lab in rows])
+    got = [tuple(q) for q in hnsw.near_duplicates(df, shard=shard).collect()]
+    assert sorted(got) == sorted(want)
+    again = spark.createDataFrame([(1, [1.0, 0.0], 5), (1, [0.0, 1.0], 5), (2, [0.0, 1.0], 5), (None, [0.0, 1.0], 5)], "vec_id long, embedding array<float>, label int")
+    assert Counter(tuple(q) for q in hnsw.near_duplicates(again).collect()) == Counter([(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True)])
+
+
+def test_audit_widens_beams():
+    r = np.random.default_rng(3)
+    g = hnsw.Graph.build(hnsw.unit(r.normal(size=(3000, 48))))
+    q = hnsw.moved(g.x, 0.985)
+    f = hnsw.Found(g, q, np.ones(3000, int), np.ones(3000, int), 0.98, hnsw.beam_width(g, q, 0.98))
+    assert f.n_q.sum() >= 0.985 * 3000 and len(f.forest()[0]) == f.n_q.sum()
+
+
 def test_graph_recall():
     r = np.random.default_rng(1)
     x = r.normal(size=(3000, 32))
