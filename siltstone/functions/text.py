@@ -21,8 +21,8 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column) -> Column:
-    """Composed form; texts of ASCII alone never leave the JVM."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), _nfc(c)).otherwise(c)
+    """Composed form; of texts of ASCII alone only a null goes to Python."""
+    return F.coalesce(_nfc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 #: Canonicalization steps in order: the name that a record's history shows (fixed values) and the Column function.
@@ -134,10 +134,10 @@ def shape(c: Column) -> Column:
 
 
 def bad_char_ratio(c: Column) -> Column:
-    """Share of replacement and control characters."""
+    """Share of replacement and control characters; 1 for an empty text."""
     n = F.length(c)
     bad = n - F.length(F.regexp_replace(c, "[�\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]", ""))
-    return F.when(n > 0, bad / n).otherwise(F.lit(0.0))
+    return F.when(n > 0, bad / n).otherwise(F.lit(1.0))
 
 
 @F.pandas_udf(IntegerType())
@@ -161,6 +161,6 @@ def longest_repeat(texts: pd.Series) -> pd.Series:
 def numbers(c: Column) -> Column:
     """Numeric literals of a document, outside comments, code, link targets, URLs and identifiers."""
     s = c
-    for p in (r"(?s)<!--.*?-->", r"(?s)```.*?```", r"`[^`\n]*`", r"\]\([^)]*\)", r"https?://\S+", r"\b(?=[A-Za-z0-9._-]*[0-9])[A-Za-z][A-Za-z0-9._-]*"):
+    for p in (r"(?s)<!--.*?-->", r"(?s)```.*?```", r"`[^`\n]*`", r"\]\([^)]*\)", r"https?://\S+", r"(?<![A-Za-z0-9._-])(?=[A-Za-z0-9._-]*[0-9])[A-Za-z][A-Za-z0-9._-]*"):
         s = F.regexp_replace(s, p, " ")
     return F.regexp_extract_all(s, F.lit(r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?"), F.lit(0))

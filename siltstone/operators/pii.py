@@ -28,9 +28,25 @@ PSEUDONYM = {"email": "USER_", "internal_hostname": "HOST_", "private_ip": "IP_"
 MARKER = "[REDACTED_SECRET]"
 
 
+#: What a text holds in any case for a pattern to match; patterns that aren't here have no such literal.
+HOLDS = {
+    "credentials_in_url": ["://"], "aws_access_key_id": ["AKIA", "ASIA"], "github_token": ["gh"], "slack_token": ["xox"], "google_api_key": ["AIza"],
+    "private_key_block": ["-----BEGIN"], "jwt": ["eyJ"], "email": ["@"], "internal_hostname": [".local", ".internal", ".corp", ".lan"],
+    "private_ip": ["10.", "127.", "192.168.", "172."],
+}
+
+
+def _matches(t: str, p: str, text: Column) -> Column:
+    """All matches; texts without a literal that every match holds aren't scanned."""
+    found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    if t not in HOLDS:
+        return found
+    return F.when(reduce(lambda a, b: a | b, (text.contains(x) for x in HOLDS[t])), found).otherwise(F.array().cast("array<string>"))
+
+
 def findings(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """A row for each finding: key, type, category and value (for counting only)."""
-    found = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(c).alias("category"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), F.lit(0)).alias("values")) for t, c, p in TYPES))
+    found = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(c).alias("category"), _matches(t, p, F.coalesce(F.col(text), F.lit(""))).alias("values")) for t, c, p in TYPES))
     return df.select(*key, F.explode(found).alias("f")).select(*key, "f.type", "f.category", F.explode("f.values").alias("value"))
 
 

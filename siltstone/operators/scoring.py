@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .records import metric_of
 
 #: CVSS v3.1 metric weights.
 AV = {"N": 0.85, "A": 0.62, "L": 0.55, "P": 0.20}
@@ -16,19 +17,19 @@ UI = {"N": 0.85, "R": 0.62}
 CIA = {"H": 0.56, "L": 0.22, "N": 0.00}
 
 
-def _weight(m: Column, key: str, table: dict[str, float]) -> Column:
+def _weight(v: Column, key: str, table: dict[str, float]) -> Column:
     out = None
-    for k, v in table.items():
-        hit = F.try_element_at(m, F.lit(key)) == k
-        out = F.when(hit, F.lit(v)) if out is None else out.when(hit, F.lit(v))
+    for k, w in table.items():
+        hit = metric_of(v, key) == k
+        out = F.when(hit, F.lit(w)) if out is None else out.when(hit, F.lit(w))
     return out
 
 
 def cvss31(vector: Column) -> Column:
     """CVSS v3.1 base score of a vector; null for a malformed one.  Rounds up on integers, as the standard asks."""
     v = F.upper(F.trim(vector))
-    m = F.str_to_map(F.regexp_replace(v, "^CVSS:3\\.1/", ""), F.lit("/"), F.lit(":"))
-    scope = F.try_element_at(m, F.lit("S"))
+    m = v  # a metric that comes twice has its last value
+    scope = metric_of(m, "S")
     changed = scope == "C"
     c, i, a = (_weight(m, k, CIA) for k in "CIA")
     iss = 1 - (1 - c) * (1 - i) * (1 - a)

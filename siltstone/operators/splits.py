@@ -67,3 +67,9 @@ def integrity(splits: DataFrame, key: str, split: str = "split") -> DataFrame:
 def not_scored_reason(n: Column) -> Column:
     """Half-width of a 95 % interval at a rate of one half."""
     return F.lit(1.96) * F.sqrt(F.lit(0.25) / n)
+
+
+def first_sorted(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows of each group by key: a limited scan, not a sample.  Spark keeps ``n`` rows of a group before the shuffle."""
+    w = Window.partitionBy(group).orderBy(key)
+    return df.where(F.col(key).isNotNull()).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")

@@ -24,24 +24,29 @@ def _index(spark, sf):
     return D.index(table(spark, sf, "documents"), "doc_id", "source", "lang")
 
 
+def _keys(s, d):
+    """The index without texts: its narrow rows are read twice, so they are kept rather than made twice."""
+    return _index(s, d).drop("text", "transforms").persist()
+
+
 SQL_INDEX = f"WITH i AS (SELECT source AS source_id, doc_id AS record_id, lang AS content_type, c9 AS text, sha256(c9) AS sha FROM ({sql_index('documents', 'text', 'doc_id, source, lang')}))"
 SQL_EXACT = SQL_INDEX + """,
 g AS (SELECT content_type, sha, count(*) AS n, min({'s': source_id, 'r': record_id}) AS m FROM i WHERE text <> '' GROUP BY ALL HAVING count(*) > 1),
 e AS (SELECT i.*, n, m.r AS rep, CASE WHEN n IS NOT NULL THEN 'exact:' || i.content_type || ':' || substr(i.sha, 1, 16) END AS cluster_id FROM i LEFT JOIN g USING (content_type, sha))"""
 
 # --- index and exact duplicates
-add("exact_dups", lambda s, d: D.exact(_index(s, d)).select("source_id", "record_id", "content_type", "cluster_id", "cluster_size", F.col("representative.record_id").alias("representative_id"), F.coalesce(F.col("representative.record_id") == F.col("record_id"), F.lit(True)).alias("keep")),
+add("exact_dups", lambda s, d: D.exact(_keys(s, d)).select("source_id", "record_id", "content_type", "cluster_id", "cluster_size", F.col("representative.record_id").alias("representative_id"), F.coalesce(F.col("representative.record_id") == F.col("record_id"), F.lit(True)).alias("keep")),
     SQL_EXACT + " SELECT source_id, record_id, content_type, cluster_id, n AS cluster_size, rep AS representative_id, coalesce(rep = record_id, true) AS keep FROM e")
 
 
 def _exact_summary(s, d):
-    e = D.exact(_index(s, d))
+    e = D.exact(_keys(s, d))
     drop = F.count_if(F.col("cluster_size").isNotNull() & (F.col("representative.record_id") != F.col("record_id")))
     return e.groupBy("source_id").agg(F.count("*").alias("records"), F.count("cluster_size").alias("clustered"), drop.alias("marked"), (drop / F.count("*")).alias("rate"))
 
 
 add("exact_summary", _exact_summary, SQL_EXACT + " SELECT source_id, count(*) AS records, count(n) AS clustered, count_if(n IS NOT NULL AND rep <> record_id) AS marked, count_if(n IS NOT NULL AND rep <> record_id) / count(*) AS rate FROM e GROUP BY ALL")
-add("stage_cube", lambda s, d: D.exact(_index(s, d)).cube("source_id", "content_type").agg(F.count("*").alias("records"), F.count("cluster_id").alias("clustered")),
+add("stage_cube", lambda s, d: D.exact(_keys(s, d)).cube("source_id", "content_type").agg(F.count("*").alias("records"), F.count("cluster_id").alias("clustered")),
     SQL_EXACT + " SELECT source_id, content_type, count(*) AS records, count(cluster_id) AS clustered FROM e GROUP BY CUBE (source_id, content_type)")
 
 NOISE = "concat(text, ' ', chr(9), chr(13), chr(10), chr(10), chr(10), chr(10), 'x', chr(160), 'y', chr(8203), chr(7), '  z ')"
@@ -106,8 +111,8 @@ _h = sql_hash("'e:' || doc_id", 1 << 62)
 _dig = "sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR)))"
 add("equal_budget_subset_proof", _subset, f"WITH b AS (SELECT doc_id FROM documents ORDER BY {_h}, doc_id LIMIT 200), a AS (SELECT doc_id FROM documents ORDER BY {_h}, doc_id LIMIT 50) SELECT (SELECT {_dig} FROM a) AS small, (SELECT {_dig} FROM a WHERE doc_id IN (FROM b)) AS common, (SELECT count(*) FROM a WHERE doc_id NOT IN (FROM b)) AS outside")
 TEMPLATES = ["Classify: {input}", "Read this text.\n{input}\nAnswer as {{\"id\": ...}}", "{input}\n---\nWhich one?"]
-_tpl = "CASE {h} WHEN 0 THEN 'Classify: ' || left(text, 50) WHEN 1 THEN 'Read this text.' || chr(10) || left(text, 50) || chr(10) || 'Answer as {{\"id\": ...}}' ELSE left(text, 50) || chr(10) || '---' || chr(10) || 'Which one?' END".replace("{{", "{").replace("}}", "}").replace("{h}", sql_hash("'tpl:' || doc_id", 3))
-add("template_choice", lambda s, d: table(s, d, "documents").select("doc_id", H.template_of(F.col("doc_id").cast("string"), TEMPLATES, F.left("text", F.lit(50))).alias("prompt")), f"SELECT doc_id, {_tpl} AS prompt FROM documents")
+_tpl = "CASE {h} WHEN 0 THEN 'Classify: ' || text WHEN 1 THEN 'Read this text.' || chr(10) || text || chr(10) || 'Answer as {{\"id\": ...}}' ELSE text || chr(10) || '---' || chr(10) || 'Which one?' END".replace("{{", "{").replace("}}", "}").replace("{h}", sql_hash("'tpl:' || doc_id", 3))
+add("template_choice", lambda s, d: table(s, d, "documents").select("doc_id", H.template_of(F.col("doc_id").cast("string"), TEMPLATES, F.col("text")).alias("prompt")), f"SELECT doc_id, {_tpl} AS prompt FROM documents")
 
 
 # --- conversations and pages
@@ -149,11 +154,12 @@ def _hashed(s, d):
 
 
 def _pairs(s, d, t=0.75):
-    return D.similar_pairs(_shingled(s, d), "key", "s", t)
+    x = _shingled(s, d).withColumn("s", F.transform("s", lambda g: F.concat("content_type", F.lit("\n"), g)))  # only sets of one type meet
+    return D.similar_pairs(x, "key", "s", t)
 
 
 SQL_SHINGLES = SQL_INDEX + f", w AS (SELECT record_id AS key, content_type, {sql_words('text')} AS w FROM i), sh AS (SELECT key, content_type, list_distinct({sql_grams('w', 5, 8)}) AS s FROM w)"
-SQL_PAIRS = SQL_SHINGLES + """, inv AS (SELECT key, len(s) AS n, unnest(s) AS g FROM sh), c AS (SELECT x.key AS a, y.key AS b, count(*) AS m, any_value(x.n) AS na, any_value(y.n) AS nb FROM inv x JOIN inv y ON x.g = y.g AND x.key < y.key GROUP BY ALL),
+SQL_PAIRS = SQL_SHINGLES + """, inv AS (SELECT key, content_type, len(s) AS n, unnest(s) AS g FROM sh), c AS (SELECT x.key AS a, y.key AS b, count(*) AS m, any_value(x.n) AS na, any_value(y.n) AS nb FROM inv x JOIN inv y ON x.g = y.g AND x.content_type = y.content_type AND x.key < y.key GROUP BY ALL),
 p AS (SELECT a, b, m / (na + nb - m) AS jaccard FROM c)"""
 add("shingle_counts", lambda s, d: _shingled(s, d).select("key", F.size("s").cast("long").alias("n")), SQL_SHINGLES + " SELECT key, len(s) AS n FROM sh")
 add("near_clusters", lambda s, d: D.near_clusters(_pairs(s, d), 0.75),
@@ -169,7 +175,7 @@ def _near(s, d):
 add("near_decisions", lambda s, d: _near(s, d).select("key", "representative", "cluster_id", "role", "similarity"))
 SQL_ROOTS = SQL_EXACT.replace("WITH i AS", "WITH RECURSIVE i AS").replace(", e AS", ", ex AS").replace("\ne AS", "\nex AS") + SQL_PAIRS[len(SQL_INDEX):] + """, e AS (SELECT a, b FROM p WHERE jaccard >= 0.75 UNION SELECT b, a FROM p WHERE jaccard >= 0.75),
 r(node, reach) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a), m AS (SELECT node, min(reach) AS root FROM r GROUP BY ALL)"""
-add("merged_decisions", lambda s, d: D.merged(_index(s, d), _near(s, d)).select("source_id", "record_id", "content_type", "dedup_stage", "representative_id", "dedup_keep"),
+add("merged_decisions", lambda s, d: D.merged(_keys(s, d), _near(s, d)).select("source_id", "record_id", "content_type", "dedup_stage", "representative_id", "dedup_keep"),
     SQL_ROOTS + """ SELECT source_id, record_id, content_type, CASE WHEN n IS NOT NULL THEN 'exact' WHEN root IS NOT NULL THEN 'near' ELSE 'unique' END AS dedup_stage,
 coalesce(rep, root, record_id) AS representative_id, coalesce(rep, root, record_id) = record_id AS dedup_keep FROM ex LEFT JOIN m ON m.node = record_id""")
 
@@ -181,8 +187,8 @@ def _sweep(s, d):
     return D.sweep(p, lab, [0.6, 0.7, 0.75, 0.8, 0.9])
 
 
-add("threshold_sweep", _sweep, SQL_SHINGLES + """, u AS (SELECT *, min(key) OVER (PARTITION BY list_sort(s)) AS rep FROM sh WHERE len(s) > 0), inv AS (SELECT key, len(s) AS n, unnest(s) AS g FROM u WHERE key = rep),
-c AS (SELECT x.key AS a, y.key AS b, count(*) AS m, any_value(x.n) AS na, any_value(y.n) AS nb FROM inv x JOIN inv y ON x.g = y.g AND x.key < y.key GROUP BY ALL), p AS (SELECT a, b, m / (na + nb - m) AS jaccard FROM c UNION ALL SELECT rep, key, 1.0 FROM u WHERE rep <> key),
+add("threshold_sweep", _sweep, SQL_SHINGLES + """, u AS (SELECT *, min(key) OVER (PARTITION BY content_type, list_sort(s)) AS rep FROM sh WHERE len(s) > 0), inv AS (SELECT key, content_type, len(s) AS n, unnest(s) AS g FROM u WHERE key = rep),
+c AS (SELECT x.key AS a, y.key AS b, count(*) AS m, any_value(x.n) AS na, any_value(y.n) AS nb FROM inv x JOIN inv y ON x.g = y.g AND x.content_type = y.content_type AND x.key < y.key GROUP BY ALL), p AS (SELECT a, b, m / (na + nb - m) AS jaccard FROM c UNION ALL SELECT rep, key, 1.0 FROM u WHERE rep <> key),
 l AS (SELECT p.*, abs(x.n_chars - y.n_chars) <= 20 AS y FROM p JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE jaccard >= 0.6),
 t AS (SELECT unnest([0.6, 0.7, 0.75, 0.8, 0.9])::DOUBLE AS threshold), g AS (SELECT threshold, count_if(jaccard >= threshold AND y) AS tp, count_if(jaccard >= threshold AND NOT y) AS fp, count_if(jaccard < threshold AND y) AS fn FROM l, t GROUP BY ALL)
 SELECT threshold, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS recall FROM g""")
@@ -216,7 +222,7 @@ for _n in (8, 13):
 SQL_NEAREST = f"""ws AS (SELECT doc_id, {sql_words('text')} AS w FROM documents), sd AS (SELECT doc_id, list_distinct({sql_grams('w', 5, 8)}) AS s FROM ws),
 wb AS (SELECT item_id, {sql_words('text')} AS w FROM benchmark), sb AS (SELECT item_id, list_distinct({sql_grams('w', 5, 8)}) AS s FROM wb),
 id AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sd), ib AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM sb),
-jc AS (SELECT item_id, doc_id, count(*) / (any_value(ib.n) + any_value(id.n) - count(*)) AS j FROM ib JOIN id USING (g) GROUP BY item_id, doc_id QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id) <= 3000),
+jc AS (SELECT item_id, doc_id, count(*) / (any_value(ib.n) + any_value(id.n) - count(*)) AS j FROM ib JOIN id USING (g) GROUP BY item_id, doc_id),
 nn AS (SELECT item_id, doc_id AS nearest, j AS jaccard FROM jc QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) = 1)"""
 _nearest = lambda s, d: N.nearest(_bench(s, d), _docs(s, d), "item_id", "doc_id", "text")
 add("nearest_train_doc", _nearest, f"WITH {SQL_NEAREST} SELECT item_id, nearest, coalesce(jaccard, 0.0) AS jaccard FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN nn USING (item_id)")

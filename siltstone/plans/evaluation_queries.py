@@ -161,12 +161,12 @@ add("set_overlap", lambda s, d: _flags(s, d).where("a").select("doc_id").interse
 
 
 def _diff(s, d):
-    x = table(s, d, "documents").select("doc_id", F.left("text", F.lit(40)).alias("o"))
+    x = table(s, d, "documents").select("doc_id", F.col("text").alias("o"))
     y = x.join(_flags(s, d).select("doc_id", "a", "b"), "doc_id").where("b").select("doc_id", F.when(F.col("a"), F.col("o")).otherwise(F.upper("o")).alias("o"))
     return B.run_diff(x, y, ["doc_id"], "o").select("doc_id", F.col("right").isNull().alias("missing"))
 
 
-add("run_diff", _diff, SQL_FLAGS + ", x AS (SELECT doc_id, left(text, 40) AS o FROM documents), y AS (SELECT doc_id, CASE WHEN a THEN o ELSE upper(o) END AS p FROM x JOIN f USING (doc_id) WHERE b) SELECT doc_id, p IS NULL AS missing FROM x LEFT JOIN y USING (doc_id) WHERE p IS DISTINCT FROM o")
+add("run_diff", _diff, SQL_FLAGS + ", x AS (SELECT doc_id, text AS o FROM documents), y AS (SELECT doc_id, CASE WHEN a THEN o ELSE upper(o) END AS p FROM x JOIN f USING (doc_id) WHERE b) SELECT doc_id, p IS NULL AS missing FROM x LEFT JOIN y USING (doc_id) WHERE p IS DISTINCT FROM o")
 add("determinism_matrix", lambda s, d: table(s, d, "conversations").groupBy("role", "turn").agg(F.count("*").alias("n"), F.count_distinct("text").alias("distinct_texts")), "SELECT role, turn, count(*) AS n, count(DISTINCT text) AS distinct_texts FROM conversations GROUP BY ALL")
 VERDICTS = "('a',0.1,0.01,'a is better'),('b',-0.1,0.2,'b is better'),('c',0.2,0.01,'no difference detected'),('d',0.0,0.9,'no difference detected')"
 add_literal("verdict_conflicts", VERDICTS, "k, diff, p, v", lambda t: B.contradictions(t, "v", "p").select("k"), "SELECT k FROM t WHERE (v LIKE '% is better' AND p >= 0.05) OR (v NOT LIKE '% is better' AND p < 0.05)")

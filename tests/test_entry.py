@@ -25,7 +25,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["exact_dups", "stable_bucket", "orders_temporal_split", "stratified_quota", "ngram_coverage_8", "length_profile", "cvss_base_score", "label_buckets", "holm_adjust", "lineage_violations"])
+@pytest.mark.parametrize("name", ["exact_dups", "stable_bucket", "orders_temporal_split", "stratified_quota", "ngram_coverage_8", "length_profile", "cvss_base_score", "label_buckets", "holm_adjust", "lineage_violations", "near_clusters", "threshold_sweep", "replay_reasons", "two_source_table", "vector_fields", "manifest_problems"])
 def test_against_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
