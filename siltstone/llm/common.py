@@ -52,6 +52,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def slim(spark: SparkSession) -> None:
+    """Let executors' JVMs collect garbage and hand unused heap back, so that the next stage's Python workers have room beside it.
+
+    Twice as many short tasks as there are cores reach every executor; one that
+    is missed only keeps its heap.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("x")).write.format("noop").mode("overwrite").save()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, unique to this call."""
     return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
