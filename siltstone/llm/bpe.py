@@ -17,7 +17,7 @@ import numpy as np
 from .wordscan import prefix, spans
 
 #: Bytes of text that are encoded at once: code points and hash sums take some forty times as much.
-TEXT_BYTES = 1 << 19
+TEXT_BYTES = 1 << 20
 
 _LETTER, _NUMBER, _OTHER, _SPACE = 1, 2, 3, 4
 #: Code points with the White_Space property.
@@ -85,7 +85,7 @@ def pretokens(cps: np.ndarray, doc_at: np.ndarray) -> np.ndarray:
 class MemoTokenizer:
     """Encodes lists of texts; the memo is dropped when it is five eighths full, so memory is bounded."""
 
-    BITS = 19
+    BITS = 20
     LONG = 256
 
     def __init__(self, path: str):
