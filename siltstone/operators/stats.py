@@ -12,28 +12,79 @@ from pyspark.sql.types import DoubleType
 
 #: Normal quantiles of 0.975 and 0.8, resamples and seed.
 Z_ALPHA, Z_POWER, RESAMPLES, SEED = 1.959963985, 0.8416212336, 1000, 1234
+#: Draws of a bootstrap held at once.
+DRAWS = 1 << 18
+
+
+def boot_means(values, resamples: int = RESAMPLES, seed: int = SEED) -> np.ndarray:
+    """Means of the resamples that ``integers(0, n, (resamples, n))`` draws; only one row of draws is held, of whole numbers a block."""
+    a = np.asarray(values)
+    n, r = len(a), np.random.default_rng(seed)
+    if a.dtype == np.int8:  # sums are exact in any order
+        blocks = [min(DRAWS, n - i) for i in range(0, n, DRAWS)]
+        return np.array([sum(int(a[r.integers(0, n, size=m)].sum(dtype=np.int64)) for m in blocks) / n for _ in range(resamples)])
+    return np.array([a[r.integers(0, n, size=n)].mean() for _ in range(resamples)])
 
 
 def boot_ci(flags, resamples: int = RESAMPLES, seed: int = SEED) -> tuple[float | None, float | None]:
     """Percentile bootstrap interval of a mean; a fresh generator for each call."""
-    a = np.asarray(flags, np.float64)
+    a = np.asarray(flags)
     if not len(a):
         return None, None
-    pick = np.random.default_rng(seed).integers(0, len(a), size=(resamples, len(a)))
-    lo, hi = np.percentile(a[pick].mean(axis=1), [2.5, 97.5])
+    lo, hi = np.percentile(boot_means(a if a.dtype == np.int8 else a.astype(np.float64), resamples, seed), [2.5, 97.5])
     return float(lo), float(hi)
 
 
-def with_ci(df: DataFrame, by: list[str], key: str, flag: str) -> DataFrame:
-    """n, k, rate and the bootstrap interval of each group; rows are sorted by key inside, so their order doesn't matter."""
+def _by_group(df: DataFrame, by: list[str], key: str, value: Column, row, types: str) -> DataFrame:
+    """``row`` of each group's values in key order (null keys last), which travel packed, so that a group has a few bytes for a row.
+
+    -1, 0 and 1 take a byte and reach ``row`` as int8; other values and nulls make the group's doubles.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import BinaryType, BooleanType, LongType, StructType
+
+    d = df.select(*by, F.col(key).alias("_k"), value.cast("double").alias("_v"))
+    d = d.repartitionByRange(*by, F.col("_k").asc_nulls_last()).sortWithinPartitions(*by, F.col("_k").asc_nulls_last())
+    d = d.withColumn("_p", F.spark_partition_id().cast("long")).select(*by, "_p", "_v")
+    n = len(by)
+    packed = StructType([df.schema[b] for b in by]).add("_p", LongType()).add("_i", LongType()).add("_small", BooleanType()).add("_n", LongType()).add("_b", BinaryType())
+
+    def pack(batches):
+        i = 0
+        for batch in batches:
+            keys = [c.to_pylist() for c in batch.columns[:n]]
+            same = [j for j in range(1, batch.num_rows) if any(k[j] != k[j - 1] for k in keys)]
+            v = batch.column(n + 1).to_numpy(zero_copy_only=False)
+            out = []
+            for x, y in zip([0, *same], [*same, batch.num_rows]) if batch.num_rows else []:
+                small = bool(np.isin(v[x:y], (-1, 0, 1)).all())
+                out.append([*(k[x] for k in keys), batch.column(n)[x].as_py(), i, small, y - x, v[x:y].astype(np.int8 if small else np.float64).tobytes()])
+                i += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [*batch.schema.types[:n], pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()])], [*by, "_p", "_i", "_small", "_n", "_b"])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(key)[flag].astype(float)
-        lo, hi = boot_ci(x)
-        return pd.DataFrame([[*(pdf[b].iloc[0] for b in by), len(x), int(x.sum()), float(x.mean()), lo, hi]], columns=[*by, "n", "k", "rate", "lo", "hi"])
+        pdf = pdf.sort_values(["_p", "_i"])
+        kind = np.int8 if pdf["_small"].all() else np.float64
+        v = np.empty(int(pdf["_n"].sum()), kind)
+        at = 0
+        for small, m, b in zip(pdf["_small"], pdf["_n"], pdf["_b"]):
+            v[at : at + m] = np.frombuffer(b, np.int8 if small else np.float64)
+            at += m
+        return pd.DataFrame([[*(pdf[b].iloc[0] for b in by), *row(v)]], columns=out_names)
+
+    keys = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
+    out_names = [*by, *(x.split()[0] for x in types.split(", "))]
+    return d.mapInArrow(pack, packed).groupBy(*by).applyInPandas(one, f"{keys}, {types}")
+
+
+def with_ci(df: DataFrame, by: list[str], key: str, flag: str) -> DataFrame:
+    """n, k, rate and the bootstrap interval of each group; values are in key order inside, so the rows' order doesn't matter."""
+
+    def row(x: np.ndarray) -> list:
+        return [len(x), int(np.nansum(x)), float(pd.Series(x).mean()), *boot_ci(x)]
 
-    types = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
-    return df.select(*by, key, flag).groupBy(*by).applyInPandas(one, f"{types}, n long, k long, rate double, lo double, hi double")
+    return _by_group(df, by, key, F.col(flag), row, "n long, k long, rate double, lo double, hi double")
 
 
 def mdd(p: Column, n: Column) -> Column:
