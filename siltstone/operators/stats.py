@@ -121,15 +121,12 @@ def mcnemar(counts: DataFrame) -> DataFrame:
 def paired_difference(pairs: DataFrame, by: list[str], key: str, a: str, b: str) -> DataFrame:
     """Mean paired difference with its bootstrap interval, standard error and paired detectable difference."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = (pdf.sort_values(key)[a].astype(float) - pdf.sort_values(key)[b].astype(float)).to_numpy()
-        means = d[np.random.default_rng(SEED).integers(0, len(d), size=(RESAMPLES, len(d)))].mean(axis=1)
+    def row(d: np.ndarray) -> list:
+        means = boot_means(d)
         disc = float((d != 0).mean())
-        row = [len(d), float(d.mean()), *map(float, np.percentile(means, [2.5, 97.5])), float(means.std(ddof=1)), (Z_ALPHA + Z_POWER) * math.sqrt(max(disc, 1e-12) / len(d))]
-        return pd.DataFrame([[*(pdf[x].iloc[0] for x in by), *row]], columns=[*by, "n", "diff", "lo", "hi", "se", "mdd"])
+        return [len(d), float(d.mean()), *map(float, np.percentile(means, [2.5, 97.5])), float(means.std(ddof=1)), (Z_ALPHA + Z_POWER) * math.sqrt(max(disc, 1e-12) / len(d))]
 
-    types = ", ".join(f"`{x}` {pairs.schema[x].dataType.simpleString()}" for x in by)
-    return pairs.select(*by, key, a, b).groupBy(*by).applyInPandas(one, f"{types}, n long, diff double, lo double, hi double, se double, mdd double")
+    return _by_group(pairs, by, key, F.col(a).cast("double") - F.col(b).cast("double"), row, "n long, diff double, lo double, hi double, se double, mdd double")
 
 
 def holm(df: DataFrame, family: list[str], p: str, key: str) -> DataFrame:
