@@ -6,17 +6,21 @@ its smallest member, so results don't depend on the order of rows.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .graph import components
+from .graph import components, reliable
 
 PERMUTATIONS, SEED = 128, 1234
 #: Buckets with more members are skipped and counted.
 BUCKET_CAP = 300
+#: Hashes of more sets are put last in the order of prefixes, in so many rounds at most; more rows of keys are not broadcast.
+CROWD, CROWD_ROUNDS, KEYS = 50, 3, 1 << 19
 
 
 def index(df: DataFrame, record: str, source: str, kind: str, text: str = "text") -> DataFrame:
@@ -106,7 +110,9 @@ def with_signature(df: DataFrame, hashes: str, out: str = "signature", n: int =
                 v = np.asarray(h.values.to_numpy(zero_copy_only=False) if h.is_valid else [], np.uint64)
                 x = np.full(n, 0xFFFFFFFF, np.uint64)
                 for j in range(0, len(v), 4096):
-                    x = np.minimum(x, (((v[j : j + 4096, None] * a + b) % p) & low).min(0))
+                    y = v[j : j + 4096, None] * a + b
+                    y = (y & p) + (y >> np.uint64(61))  # modulo 2^61 - 1, up to one p
+                    x = np.minimum(x, ((y - p * (y >= p)) & low).min(0))
                 signed.append(x.astype(np.int64) if len(v) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed, pa.list_(pa.int64()))], [*batch.schema.names, out])
 
@@ -131,29 +137,153 @@ def lsh_pairs(signed: DataFrame, bands: int, rows: int, cap: int | None = BUCKET
     return x.join(y, k).where("a < b").select("content_type", "a", "b").distinct()
 
 
+def shingle_sets(df: DataFrame, key: str, text: str, kind: str, k: int = 5, least: int = 8) -> DataFrame:
+    """key, kind and ``s``: sorted 64-bit hashes of a canonical text's distinct word k-grams, with the kind hashed in.
+
+    Only sets of one kind can share a hash; a set without kind becomes one hash, which equal ones without kind share.  Arrow batches: words are hashed once in a while, k-grams as vectors.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, LongType, StructType
+
+    d = df.select(key, kind, text)
+
+    def run(batches):
+        known = _Words()
+        for batch in batches:
+            sets = []
+            for t, c in zip(batch.column(2), batch.column(1)):
+                w = (t.as_py() or "").encode().split()
+                if len(w) < max(k, least):
+                    sets.append(np.empty(0, np.int64))
+                    continue
+                if len(known) > 1 << 17:
+                    known.clear()
+                v = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+                h = np.full(len(w) - k + 1, _digest(repr(c.as_py()).encode()), np.uint64)
+                for j in range(k):
+                    h = _mixed(h + v[j : len(w) - k + 1 + j])
+                u = np.unique(h.view(np.int64))
+                sets.append(u if c.is_valid else np.array([_digest(u.tobytes())], np.uint64).view(np.int64))
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            s = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), s], [key, kind, "s"])
+
+    return d.mapInArrow(run, StructType(list(d.schema.fields)[:2]).add("s", ArrayType(LongType())))
+
+
+def _digest(w: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+
+
+class _Words(dict):
+    def __missing__(self, w: bytes) -> int:
+        self[w] = h = _digest(w)
+        return h
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective finalizer of 64-bit words."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _folded(d: DataFrame, key: str, shingles: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct sets (k, s) under their least key, and the copies (a, b) with it; the sets are written once."""
+    s = F.col(shingles) if d.schema[shingles].dataType.simpleString() == "array<bigint>" else F.transform(shingles, lambda v: F.xxhash64(v))
+    x = reliable(d.where(F.size(shingles) > 0).select(F.col(key).alias("k"), F.array_sort(F.array_distinct(s)).alias("s")).withColumn("h", F.struct(F.xxhash64("s"), F.xxhash64(F.lit(7), "s"), F.size("s"))))
+    least = x.groupBy("h").agg(F.min("k").alias("a"), F.count("*").alias("m")).where("m > 1").drop("m")
+    same = reliable(x.select("k", "h").join(least, "h").where("k <> a").select("a", F.col("k").alias("b")))
+    return x.drop("h").join(_few(same.select(F.col("b").alias("k"))), "k", "left_anti"), same
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast where it is under ``KEYS`` rows."""
+    return F.broadcast(df) if df.count() <= KEYS else df
+
+
+def _prefixes(g: DataFrame, threshold: float) -> DataFrame:
+    """(v, k, n): of a set's n hashes those of which a similar set shares one, without hashes that no other set gives.
+
+    Of a set in a fixed order the first n - ceil(t n) + 1 must hold one of any
+    similar set's.  The order is that of the hashes; where that brings crowds
+    (more than ``CROWD`` sets), crowded hashes are put last, for all sets alike.
+    """
+    first = lambda o: F.slice(o, F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).cast("int"))
+
+    def met(pre: DataFrame) -> DataFrame:
+        pre = pre.repartition("v")  # one shuffle for count and join
+        m = pre.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
+        return reliable(pre.join(m, "v"))
+
+    plain = g.withColumn("n", F.size("s"))
+    pre = plain.select("k", "n", F.explode(first("s")).alias("v"))
+    rows = met(pre)
+    late = fresh = reliable(rows.where(F.col("m") > CROWD).groupBy("v").agg(F.first("m").alias("m")))
+    if fresh.isEmpty():
+        return rows.drop("m")
+    for _ in range(CROWD_ROUNDS):
+        # a hash that is put last moves nothing in sets that hold it behind their prefix
+        hit = plain.select("k", F.explode("s").alias("v")).join(_few(late), "v").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("m", "v"))).alias("c"))
+        moved = plain.join(hit, "k", "left").withColumn("o", F.when(F.col("c").isNull(), F.col("s")).otherwise(F.concat(F.array_except("s", "c.v"), "c.v")))
+        pre = moved.select("k", "n", F.explode(first("o")).alias("v"))
+        rows = met(pre)
+        fresh = reliable(rows.where(F.col("m") > CROWD).groupBy("v").agg(F.first("m").alias("m")).join(late, "v", "left_anti").select("v", "m"))
+        if fresh.isEmpty():
+            break
+        late = reliable(late.union(fresh))
+    return rows.drop("m")
+
+
+def measured(c: DataFrame, g: DataFrame) -> DataFrame:
+    """(a, b, jaccard) of written pairs; only sets that pairs name are moved."""
+    named = reliable(c.select(F.col("a").alias("k")).union(c.select("b")).distinct())
+    g = g.join(_few(named), "k", "left_semi")
+    side = lambda s: g.select(F.col("k").alias(s), F.col("s").alias(f"s{s}"))
+    return c.join(side("a"), "a").join(side("b"), "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("jaccard"))
+
+
+def _alike(na: str, nb: str, threshold: float) -> Column:
+    return F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold)
+
+
 def similar_pairs(d: DataFrame, key: str, shingles: str, threshold: float) -> DataFrame:
     """Pairs a < b with shingle Jaccard of at least ``threshold``: (a, b, jaccard), exact and whole up to equal sets.
 
-    Equal sets are folded into their least key first and come back as pairs of 1
+    Shingles are strings, or 64-bit hashes.  Equal sets are folded into their least key first and come back as pairs of 1
     with it; a copy's pairs with other sets are those of its least key and
-    aren't repeated.  The rest meet by prefix: of a set's shingles, rarest first, the first
-    n - ceil(t n) + 1 must hold one of any similar set's, so common passages
-    bring no candidates.  Similarity is then measured on the sets.
+    aren't repeated.  The rest meet by prefix (see ``_prefixes``); similarity is then measured on the sets.
+    """
+    g, same = _folded(d, key, shingles)
+    pre = _prefixes(g, threshold)
+    x, y = pre.select("v", F.col("k").alias("a"), F.col("n").alias("na")), pre.select("v", F.col("k").alias("b"), F.col("n").alias("nb"))
+    c = reliable(x.join(y, "v").where((F.col("a") < F.col("b")) & _alike("na", "nb", threshold)).select("a", "b").distinct())
+    return measured(c, g).where(F.col("jaccard") >= threshold).union(same.withColumn("jaccard", F.lit(1.0)))
+
+
+def similar_roots(d: DataFrame, key: str, shingles: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the similarity graph, and the similar pairs (a, b, jaccard) of roots with their nodes.
+
+    The clusters of ``similar_pairs`` without its pairs: sets that meet are first
+    compared with the least of them, and only sets that are then still in several
+    clusters with each other.  Copies stand in the pairs as there.
     """
-    t = F.lit(threshold)
-    x = d.where(F.size(shingles) > 0).select(F.col(key).alias("k"), F.array_sort(F.transform(shingles, lambda s: F.xxhash64(s))).alias("s"))
-    g = x.groupBy(F.sha2(F.array_join(F.transform("s", lambda v: v.cast("string")), ","), 256).alias("h")).agg(F.min("k").alias("rep"), F.first("s").alias("s"))
-    inv = g.select("rep", F.explode("s").alias("v"))
-    inv = inv.join(inv.groupBy("v").agg(F.count("*").alias("df")), "v")
-    n = F.size("o")
-    pre = inv.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("o"))
-    pre = pre.select("rep", n.alias("n"), F.explode(F.slice("o", F.lit(1), (n - F.ceil(n * t) + 1).cast("int"))).alias("e")).select("rep", "n", "e.v")
-    a, b = pre.select(F.col("rep").alias("a"), F.col("n").alias("na"), "v"), pre.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "v")
-    c = a.join(b, "v").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * t)).select("a", "b").distinct()
-    side = lambda s: g.select(F.col("rep").alias(s), F.col("s").alias(f"s{s}"))
-    near = c.join(side("a"), "a").join(side("b"), "b").select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= t)
-    same = x.withColumn("h", F.sha2(F.array_join(F.transform("s", lambda v: v.cast("string")), ","), 256)).join(g.select("h", "rep"), "h").where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("jaccard"))
-    return near.union(same)
+    g, same = _folded(d, key, shingles)
+    pre = _prefixes(g, threshold)
+    least = pre.groupBy("v").agg(F.min(F.struct("k", "n")).alias("l"))
+    c = pre.join(least, "v").select(F.col("l.k").alias("a"), F.col("k").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb"))
+    tried = reliable(c.where((F.col("a") < F.col("b")) & _alike("na", "nb", threshold)).select("a", "b").distinct())
+    links = reliable(measured(tried, g).where(F.col("jaccard") >= threshold).select("a", "b"))
+    at = pre.join(components(links).toDF("k", "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    several = at.groupBy("v").agg(F.min("root").alias("main"), F.max("root").alias("_last")).where("main < _last").drop("_last")
+    at = reliable(at.join(several, "v"))  # of two sets in different clusters one is outside the group's main one
+    x = at.where("root <> main").select("v", F.col("k").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    y = at.select("v", F.col("k").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+    c = x.join(y, "v").where((F.col("rx") != F.col("ry")) & _alike("nx", "ny", threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    more = measured(reliable(c.join(tried, ["a", "b"], "left_anti").select("a", "b")), g).where(F.col("jaccard") >= threshold).select("a", "b")
+    roots = components(links.union(more).union(same))
+    stars = reliable(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).join(same.select("b"), "b", "left_anti").select("a", "b"))
+    return roots, measured(stars, g).where(F.col("jaccard") >= threshold).union(same.withColumn("jaccard", F.lit(1.0)))
 
 
 def near_clusters(pairs: DataFrame, threshold: float) -> DataFrame:

@@ -153,6 +153,14 @@ def _hashed(s, d):
     return D.with_signature(x, "h")
 
 
+def _sets(s, d):
+    return D.shingle_sets(_index(s, d).withColumnRenamed("record_id", "key"), "key", "text", "content_type")  # only sets of one type meet
+
+
+def _roots(s, d):
+    return D.similar_roots(_sets(s, d).where("content_type is not null"), "key", "s", 0.75)
+
+
 def _pairs(s, d, t=0.75):
     x = _shingled(s, d).withColumn("s", F.transform("s", lambda g: F.concat("content_type", F.lit("\n"), g)))  # only sets of one type meet
     return D.similar_pairs(x, "key", "s", t)
@@ -162,14 +170,14 @@ SQL_SHINGLES = SQL_INDEX + f", w AS (SELECT record_id AS key, content_type, {sql
 SQL_PAIRS = SQL_SHINGLES + """, inv AS (SELECT key, content_type, len(s) AS n, unnest(s) AS g FROM sh), c AS (SELECT x.key AS a, y.key AS b, count(*) AS m, any_value(x.n) AS na, any_value(y.n) AS nb FROM inv x JOIN inv y ON x.g = y.g AND x.content_type = y.content_type AND x.key < y.key GROUP BY ALL),
 p AS (SELECT a, b, m / (na + nb - m) AS jaccard FROM c)"""
 add("shingle_counts", lambda s, d: _shingled(s, d).select("key", F.size("s").cast("long").alias("n")), SQL_SHINGLES + " SELECT key, len(s) AS n FROM sh")
-add("near_clusters", lambda s, d: D.near_clusters(_pairs(s, d), 0.75),
+add("near_clusters", lambda s, d: _roots(s, d)[0],
     SQL_PAIRS.replace("WITH i AS", "WITH RECURSIVE i AS") + """, e AS (SELECT a, b FROM p WHERE jaccard >= 0.75 UNION SELECT b, a FROM p WHERE jaccard >= 0.75),
 r(node, reach) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a), m AS (SELECT node, min(reach) AS root FROM r GROUP BY ALL) SELECT node, root FROM m WHERE node <> root""")
 
 
 def _near(s, d):
-    p = _pairs(s, d)
-    return D.near_decisions(_shingled(s, d).select("key"), D.near_clusters(p, 0.75), p, 0.75)
+    roots, p = _roots(s, d)
+    return D.near_decisions(table(s, d, "documents").select(F.col("doc_id").alias("key")), roots, p, 0.75)
 
 
 add("near_decisions", lambda s, d: _near(s, d).select("key", "representative", "cluster_id", "role", "similarity"))
