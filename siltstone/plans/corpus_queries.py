@@ -200,10 +200,9 @@ add("minhash_signatures", lambda s, d: _hashed(s, d).select("key", F.sha2(F.arra
 
 
 def _lsh(s, d):
-    x = _hashed(s, d)
-    p = D.lsh_pairs(x, *D.bands_rows(0.72))
-    side = lambda k: x.select("content_type", F.col("key").alias(k), F.col("s").alias(f"s{k}"))
-    return p.join(side("a"), ["content_type", "a"]).join(side("b"), ["content_type", "b"]).select("a", "b", D.jaccard(F.col("sa"), F.col("sb")).alias("jaccard"))
+    x = reliable(_hashed(s, d).select("content_type", "key", F.transform("s", lambda g: F.xxhash64(g)).alias("s"), "signature"))
+    p = reliable(D.lsh_pairs(x, *D.bands_rows(0.72)).select("a", "b"))
+    return D.measured(p, x.select(F.col("key").alias("k"), "s"))
 
 
 add("lsh_pairs", _lsh)

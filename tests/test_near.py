@@ -54,7 +54,7 @@ def test_near_copies_make_no_square_of_pairs(spark, monkeypatch):
     assert roots.count() == 119 and sum(made) < 4 * 120
 
 
-@pytest.mark.parametrize("name,most", [("near_clusters", 0), ("near_decisions", 0), ("merged_decisions", 2), ("threshold_sweep", 0)])
+@pytest.mark.parametrize("name,most", [("near_clusters", 0), ("near_decisions", 0), ("merged_decisions", 2), ("threshold_sweep", 0), ("lsh_pairs", 0)])
 def test_texts_are_not_read_again_for_each_join(spark, name, most):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("StringTrim") + plan.count("trim(") <= most
