@@ -67,11 +67,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/siltstone/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
-    path = scratch_path(df.sparkSession, name)
-    small_batches(df.sparkSession)
-    df.write.parquet(path)
+#: Whether Spark deletes a query's shuffle files when it ends, and not when the driver collects garbage.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, swept: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here.  ``swept``: its shuffle files go at once."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    small_batches(spark)
+    before = spark.conf.get(SWEEP, None)
+    if swept:
+        spark.conf.set(SWEEP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if swept:
+            spark.conf.unset(SWEEP) if before is None else spark.conf.set(SWEEP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -13,9 +13,14 @@ signature in common.
   lower bands that a similar smaller set can have.
 * A set with too few full partitions (a pair without a common signature has two
   such sets) emits single partitions as well, and empty ones if need be.
-* The surplus ``slack`` = full - k - first-level partitions - 1 allows more: a set
-  with at most so many signatures in crowded groups finds all its partners
-  elsewhere.
+* The surplus = full - k - first-level partitions - 1 allows more.  In the scheme
+  of a lower band a set only looks for smaller sets, and leaves out so many full
+  partitions that ``spare`` agreements are left over; in that of its own band it
+  leaves out none.  Any pair that is similar has 1 + ``slack`` signatures in common,
+  slack being the less of either set's surplus and of spare: a set with at most so
+  many signatures in crowded groups finds all its partners elsewhere.
+* Signatures are made and met in rounds, each over a range of them, so that only a
+  part of them is on disk at a time.
 
 Signatures travel packed (40-bit values in order, delta-coded) and meet bucket
 by bucket.  Groups don't become pairs: members are first paired with their
@@ -32,17 +37,19 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, components, flat, give_back, mapped, partitions, written
+from .common import chunks, components, flat, give_back, mapped, partitions
+from .common import written as _written
 from .wordscan import SPACED, Words, mix, shingles
 
 K = 5
+written = partial(_written, swept=True)
 #: Members of a group that is paired across components at once; more make it crowded.
 CROWD = 24
 #: Sets of one chunk that share a signature before the chunk sends one of them to the bucket.
@@ -50,10 +57,20 @@ LOCAL = 64
 CHUNK_SHINGLES = 1 << 19
 #: Text bytes whose signatures meet in one bucket; beyond so many buckets (400 GB) they grow instead.
 BUCKET_BYTES, MOST_BUCKETS = 6 << 20, 1 << 16
-SIG_BITS = 40
+#: Bits of a signature; with many buckets those within a bucket stay as many, so that chance equals grow as the input does.
+SIG_BITS, BITS_IN_BUCKET = 40, 34
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def sig_bits(buckets: int) -> int:
+    return max(SIG_BITS, BITS_IN_BUCKET + (buckets - 1).bit_length())
+
+
+def rounds(buckets: int) -> int:
+    """Parts in which the signatures are made: from 48 MB of text two, from 12 GB three, since owners' keys are listed once a bucket."""
+    return 1 + (buckets >= 8) + (buckets >= 2048)
+
+
 @lru_cache(1)
 def bands(most: int = 1 << 40) -> np.ndarray:
     """Largest size of each band; a band's sizes differ by a third at most."""
@@ -94,8 +111,26 @@ def set_keys(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return mix((total[off[1:]] - total[off[:-1]]) ^ np.diff(off).astype(np.uint64)).view(np.int64)
 
 
-def signatures(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, set number of each, slack of each set) of sorted distinct hashes."""
+def spare(n1: np.ndarray) -> np.ndarray:
+    """Agreements beyond the needed ones that sets of a higher band keep in a scheme of ``n1`` first-level partitions."""
+    return n1 // 8
+
+
+def kept(first: np.ndarray, row: np.ndarray, drop: np.ndarray) -> np.ndarray:
+    """Marks the full partitions that stay when each set leaves out ``drop`` of them, those of its fullest first-level ones."""
+    new = np.ones(len(first), bool)
+    new[1:] = first[1:] != first[:-1]
+    head = np.flatnonzero(new)
+    place = np.arange(len(first)) - np.repeat(head, np.diff(np.append(head, len(first))))  # so many pairs fall away with it
+    order = np.lexsort((-place, row))
+    full = np.bincount(row, minlength=len(drop))
+    rank = np.empty(len(row), np.int64)
+    rank[order] = np.arange(len(row)) - np.repeat(np.cumsum(full) - full, full)
+    return rank >= drop[row]
+
+
+def signatures(h: np.ndarray, off: np.ndarray, bits: int = SIG_BITS, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures from ``low`` to below ``high``, set number of each, slack of each set) of sorted distinct hashes."""
     size = np.diff(off)
     some = np.flatnonzero(size)
     slack = np.full(len(size), 1 << 30)
@@ -105,7 +140,11 @@ def signatures(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     mixed = mix(h)
 
     def give(x: np.ndarray, sets: np.ndarray) -> None:
-        sigs.append(mix(x) >> np.uint64(64 - SIG_BITS))
+        x = mix(x) >> np.uint64(64 - bits)
+        if low or high is not None:
+            here = (x >= np.uint64(low)) & (x < np.uint64(1 << bits if high is None else high))
+            x, sets = x[here], sets[here]
+        sigs.append(x)
         owner.append(sets)
 
     for step in range(4):
@@ -124,14 +163,18 @@ def signatures(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         part, row = part[at].astype(np.int64), row[at]
         content = mix(np.add.reduceat(mixed[idx], at) ^ mix(part.astype(np.uint64) << np.uint64(16) | band[row].astype(np.uint64)))
         first = row * (int(n1.max()) + 1) + part // n2[row]
-        for d in range(1, len(first)):
-            i = np.flatnonzero(first[d:] == first[:-d])
-            if not len(i):
-                break
-            give(content[i] * _ODD + content[i + d], sets[row[i]])
         full = np.bincount(row, minlength=len(sets))
         left = full - k - n1
-        slack[sets] = np.minimum(slack[sets], left - 1)
+        slack[sets] = np.minimum(slack[sets], np.minimum(left - 1, spare(n1)))
+        c, f, r = content, first, row
+        if step:
+            stay = kept(first, row, np.maximum(0, left - 1 - spare(n1)))
+            c, f, r = content[stay], first[stay], row[stay]
+        for d in range(1, len(f)):
+            i = np.flatnonzero(f[d:] == f[:-d])
+            if not len(i):
+                break
+            give(c[i] * _ODD + c[i + d], sets[r[i]])
         few = left <= 0
         one = few[row]
         give(content[one], sets[row[one]])
@@ -202,7 +245,7 @@ def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def grouped(sig: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (signature, owner's number) in order."""
     low = max(1, int(owner.max()).bit_length()) if len(owner) else 1
-    if SIG_BITS + low > 64:  # more owners than a packed number holds
+    if len(sig) and int(sig.max()).bit_length() + low > 64:  # more owners than a packed number holds
         order = np.lexsort((owner, sig))
         s, o = sig[order], owner[order]
         new = np.ones(len(s), bool)
@@ -235,9 +278,16 @@ def _rows(schema: str, kinds: list, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(n, k) for c, k in zip(names, kinds)], names)
 
 
-def _emit(buckets: int):
+def _emit(buckets: int, start: int = 0, end: int | None = None):
+    """Documents, sets and the signatures of the buckets from ``start`` to below ``end``; only with the first bucket come documents and sets."""
+    bits, end = sig_bits(buckets), buckets if end is None else end
+    edges = [-(-(i << bits) // buckets) for i in range(start, end + 1)]  # a bucket is a range of signatures
+
+    def dealt(keys: np.ndarray) -> np.ndarray:
+        return start + keys % (end - start)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, sizes, size, known = [], [], 0, set()
+        hs, sizes, size = [], [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
             h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
@@ -247,10 +297,10 @@ def _emit(buckets: int):
             first = np.sort(first[np.diff(off)[first] > 0])
             idx = ranges(off[first], np.diff(off)[first])
             sub, sub_off, sub_keys = h[idx], np.concatenate([[0], np.cumsum(np.diff(off)[first])]), keys[first]
-            sig, owner, slack = signatures(sub, sub_off)
-            for a in range(0, len(first), 4096):
+            sig, owner, slack = signatures(sub, sub_off, bits, edges[0], edges[-1])
+            for a in range(0, 0 if start else len(first), 4096):
                 r = range(a, min(a + 4096, len(first)))
-                yield _rows(OUT, _KINDS, kind=np.full(len(r), SET), key=sub_keys[r.start : r.stop], n=np.diff(sub_off)[r.start : r.stop], slack=np.clip(slack[r.start : r.stop], -1, 1 << 20), sketch=[sketch(sub[sub_off[i] : sub_off[i + 1]]) for i in r], bucket=(sub_keys[r.start : r.stop] % buckets))
+                yield _rows(OUT, _KINDS, kind=np.full(len(r), SET), key=sub_keys[r.start : r.stop], n=np.diff(sub_off)[r.start : r.stop], slack=np.clip(slack[r.start : r.stop], -1, 1 << 20), sketch=[sketch(sub[sub_off[i] : sub_off[i + 1]]) for i in r], bucket=dealt(sub_keys[r.start : r.stop]))
             del sub
             # signatures that many sets of this chunk share: pairs with the least key go on directly, it stands for all in the bucket
             order = np.argsort(sub_keys)  # owners in the order of their keys: the least of a group comes first
@@ -264,31 +314,30 @@ def _emit(buckets: int):
             many = np.repeat(count > LOCAL, count)
             if many.any():
                 sat, times = counted(o[many])
-                yield _rows(OUT, _KINDS, kind=np.full(len(sat), CROWDED), n=times, key=sub_keys[sat], bucket=(sub_keys[sat] % buckets))
+                yield _rows(OUT, _KINDS, kind=np.full(len(sat), CROWDED), n=times, key=sub_keys[sat], bucket=dealt(sub_keys[sat]))
                 x, y = unique_pairs(np.repeat(o[head], count)[many], o[many], len(sub_keys))
                 for a in range(0, len(x), 50_000):
                     p, q = sub_keys[x[a : a + 50_000]], sub_keys[y[a : a + 50_000]]
-                    yield _rows(OUT, _KINDS, kind=np.full(len(p), STAR), n=p, key=q, bucket=(q % buckets))
+                    yield _rows(OUT, _KINDS, kind=np.full(len(p), STAR), n=p, key=q, bucket=dealt(q))
                 keep = ~many
                 keep[head] = True
                 s, o, many = s[keep], o[keep], many[keep]
-            start = np.array([-(-(i << SIG_BITS) // buckets) for i in range(buckets + 1)], np.uint64)  # a bucket is a range of signatures
-            cut = np.searchsorted(s, start)
-            got = [i for i in range(buckets) if cut[i + 1] > cut[i]]
+            cut = np.searchsorted(s, np.array(edges, np.uint64))
+            got = [i for i in range(end - start) if cut[i + 1] > cut[i]]
             for a in range(0, len(got), 64):
                 part, body = got[a : a + 64], []
                 for i in part:
                     x = slice(cut[i], cut[i + 1])
                     used, idx = np.unique(o[x], return_inverse=True)
-                    body.append(pack(s[x] - start[i], idx << 1 | many[x], sub_keys[used]))
-                yield _rows(OUT, _KINDS, kind=np.full(len(part), SIGS), bucket=np.array(part), payload=body)
+                    body.append(pack(s[x] - np.uint64(edges[i]), idx << 1 | many[x], sub_keys[used]))
+                yield _rows(OUT, _KINDS, kind=np.full(len(part), SIGS), bucket=start + np.array(part), payload=body)
             hs.clear()
             sizes.clear()
 
         for part, buf, off in chunks(batches, "text"):
             h, o = shingles(Words(buf, off, SPACED), K)
-            keys = set_keys(h, o)
-            yield _rows(OUT, _KINDS, kind=np.full(part.num_rows, DOC), doc_id=part.column(0).cast(pa.int64()), h=part.column(2), n=np.diff(o), key=keys, bucket=(keys % buckets))
+            if not start:
+                yield _rows(OUT, _KINDS, kind=np.full(part.num_rows, DOC), doc_id=part.column(0).cast(pa.int64()), h=part.column(2), n=np.diff(o), key=(keys := set_keys(h, o)), bucket=dealt(keys))
             hs.append(h)
             sizes.append(np.diff(o))
             size += len(h)
@@ -591,8 +640,10 @@ def _components(docs: DataFrame, buckets: int | None = None) -> tuple[DataFrame,
     if not buckets:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = min(MOST_BUCKETS, max(1, -(-size // BUCKET_BYTES)))
-    met = docs.select("doc_id", "text", F.xxhash64("text")).transform(mapped(_emit(buckets), OUT)).groupBy("bucket").applyInArrow(_meet_bucket, MET)
-    met = written(met, "partenum-met")
+    whole = docs.select("doc_id", "text", F.xxhash64("text"))
+    cuts = [buckets * i // rounds(buckets) for i in range(rounds(buckets) + 1)]
+    parts = [written(whole.transform(mapped(_emit(buckets, a, b), OUT)).groupBy("bucket").applyInArrow(_meet_bucket, MET), "partenum-met") for a, b in zip(cuts[:-1], cuts[1:])]
+    met = reduce(DataFrame.union, parts)
     rows = met.where(F.col("kind") == DOC).select("doc_id", "n", "key", "h")
     reps = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
     sets = met.where(F.col("kind") == SET).groupBy("key").agg(F.min("n").alias("n"), F.min("slack").alias("slack"), F.min("sketch").alias("sketch"))

@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, common, decontamination, hnsw, licenses, packing, partenum, rollups, sstable, suffixes, toxicity, urls
 from siltstone.llm.wordscan import ALNUM, SPACED, Words, shingles, word_hash
@@ -407,6 +409,55 @@ def test_signatures_find_every_similar_pair():
                 assert partenum.may_link(partenum.sketch(a), partenum.sketch(b), len(a), len(b))
 
 
+def test_signatures_leave_out_the_surplus_and_keep_slack():
+    r = np.random.default_rng(3)
+    fresh = lambda n: r.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)
+    sets = [np.unique(fresh(n)) for n in r.integers(100, 1000, 200)]
+    s, _, _ = partenum.signatures(np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets]))
+    assert len(s) < 1.7 * sum(map(len, sets))
+    for a in sets[:60]:  # partners of all sizes, in the own band and in lower ones
+        b = a[np.sort(r.permutation(len(a))[: int(r.integers(-(-3 * len(a) // 4), len(a) + 1))])]
+        off = np.array([0, len(a), len(a) + len(b)])
+        s, o, slack = partenum.signatures(np.concatenate([a, b]), off)
+        assert len(set(s[o == 0].tolist()) & set(s[o == 1].tolist())) >= 1 + slack.max()
+        low, high = (partenum.signatures(np.concatenate([a, b]), off, partenum.SIG_BITS, *x) for x in ((0, 1 << 39), (1 << 39,)))
+        assert sorted(zip(s, o)) == sorted([*zip(*low[:2]), *zip(*high[:2])]) and (low[2] == slack).all()
+
+
+def test_signatures_of_a_bucket_stay_as_long():
+    for buckets in (64, 85, 5000, partenum.MOST_BUCKETS):
+        assert (1 << partenum.sig_bits(buckets)) // buckets >= 1 << 33 and partenum.sig_bits(buckets) <= 52
+
+
+@pytest.mark.parametrize("crowd,local", [(partenum.CROWD, partenum.LOCAL), (3, 2)])
+def test_jaccard_join_in_rounds(spark, monkeypatch, crowd, local):
+    monkeypatch.setattr(partenum, "CROWD", crowd)
+    monkeypatch.setattr(partenum, "LOCAL", local)
+    r = random.Random(8)
+    base = [r.choice("abcdefghijklmnopqrstuvwxyz") + str(i) for i in range(90)]
+    texts = {i: " ".join(f"z{r.random()}" if r.random() < 0.02 else x for x in base[: r.randrange(60, 90)]) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert partenum.rounds(9) == 2
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in partenum.join(df, 9).collect()} == brute_components(texts)
+
+
+def test_swept_queries_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled() -> set:
+        blocks = disk.getAllBlocks()
+        return {n for i in range(blocks.size()) if (n := blocks.apply(i).toString()).startswith("shuffle_")}
+
+    before = shuffled()
+    out = partenum.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "swept")
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 7
+    assert spark.conf.get(common.SWEEP, "false") == "false"
+
+
 def test_urls(spark):
     rows = ["http://a.net/", "https://Sub.Example.NET/en/x?q", "http://notexample.net", "http://example.com/de/1", "http://example.com/DE/1", "http://x.org/fr/", "http://spam-farm.example.org/en/1", None, "", "no scheme/net/", "http://x.com/login?a", "http://www.cheap-pills.example.com/en/4", "http://x.net/spam-farm/"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(rows)] + [(0, rows[0], "h")], "page_id long, url string, host string")
