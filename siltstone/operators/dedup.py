@@ -18,8 +18,6 @@ from . import similar
 from .graph import components, reliable
 
 PERMUTATIONS, SEED = 128, 1234
-#: Buckets with more members are skipped and counted.
-BUCKET_CAP = 300
 #: Hashes of more sets are put last in the order of prefixes, in so many rounds at most; more rows of keys are not broadcast.
 CROWD, CROWD_ROUNDS, KEYS = 50, 3, 1 << 19
 
@@ -122,20 +120,15 @@ def with_signature(df: DataFrame, hashes: str, out: str = "signature", n: int =
     return df.mapInArrow(run, StructType(list(df.schema.fields)).add(out, ArrayType(LongType())))
 
 
-def band_rows(signed: DataFrame, key: list[str], bands: int, rows: int, signature: str = "signature") -> DataFrame:
-    """A row for each band: key, band and bucket.  Sets without shingles have no signature: leave them out before."""
-    cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice(signature, i * rows + 1, rows)))
-    return signed.select(*key, F.posexplode(cut).alias("band", "bucket"))
+def buckets(bands: int, rows: int, signature: str = "signature") -> Column:
+    """A bucket for each band.  Sets without shingles have no signature: leave them out before."""
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(F.slice(signature, i * rows + 1, rows)))
 
 
-def lsh_pairs(signed: DataFrame, bands: int, rows: int, cap: int | None = BUCKET_CAP) -> DataFrame:
-    """Candidate pairs a < b of the same type that share a bucket; crowded buckets are skipped."""
-    b = band_rows(signed, ["content_type", "key"], bands, rows)
-    k = ["content_type", "band", "bucket"]
-    fine = b.groupBy(*k).count().where((F.col("count") > 1) & (F.col("count") <= (cap or 1 << 60))).drop("count")
-    b = b.join(fine, k)
-    x, y = b.withColumnRenamed("key", "a"), b.withColumnRenamed("key", "b")
-    return x.join(y, k).where("a < b").select("content_type", "a", "b").distinct()
+def lsh_pairs(banded: DataFrame) -> DataFrame:
+    """Candidate pairs a < b of (key, band, bucket) that share a bucket: all of them, however crowded."""
+    x, y = banded.withColumnRenamed("key", "a"), banded.withColumnRenamed("key", "b")
+    return x.join(y, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, kind: str, k: int = 5, least: int = 8) -> DataFrame:

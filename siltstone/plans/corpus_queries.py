@@ -15,7 +15,7 @@ from ..operators import pii as X
 from ..operators import similar as M
 from ..operators import splits as S
 from ..operators import trace as TR
-from ..operators.graph import reliable
+from ..operators.graph import erase, stored
 from .base import literal, sql_grams, sql_hash, sql_index, sql_words, table
 from .catalog import add
 
@@ -200,9 +200,15 @@ add("minhash_signatures", lambda s, d: _hashed(s, d).select("key", F.sha2(F.arra
 
 
 def _lsh(s, d):
-    x = reliable(_hashed(s, d).select("content_type", "key", F.transform("s", lambda g: F.xxhash64(g)).alias("s"), "signature"))
-    p = reliable(D.lsh_pairs(x, *D.bands_rows(0.72)).select("a", "b"))
-    return D.measured(p, x.select(F.col("key").alias("k"), "s"))
+    sets = lambda: M.hashed(_shingled(s, d).where("content_type is not null"), "key", "s")
+    words = F.array_sort(F.transform("s", lambda g: F.xxhash64(g)))
+    x = _hashed(s, d).where("key is not null and content_type is not null").withColumn("w", words)
+    x = stored(x.select(F.col("key").alias("k"), F.struct("content_type", M.digest("w").alias("h")).alias("h"), F.size("s").alias("n"), "content_type", D.buckets(*D.bands_rows(0.72)).alias("bands")))
+    members = M.classes(x.select("k", "h", "n"))
+    banded = M.leads(x, members).select(F.col("k").alias("key"), "content_type", F.posexplode("bands").alias("band", "bucket"))
+    p = stored(D.lsh_pairs(banded.withColumn("bucket", F.xxhash64("bucket", "content_type")).drop("content_type")))
+    erase(x)
+    return M.expanded(members, M.compared(p, sets()))
 
 
 add("lsh_pairs", _lsh)

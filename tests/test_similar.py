@@ -78,3 +78,13 @@ def test_sweep_counts_the_pairs_of_copies(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
     assert {r[0]: tuple(r[1:4]) for r in c.sql(entry.oracle_sql()["threshold_sweep"]).fetchall()} == got
+
+
+def test_crowded_buckets_give_all_pairs(spark, tmp_path):
+    n = 310
+    w = [f"word{i}" for i in range(120)]
+    near = [(" ".join([*w[:119], f"end{i}"]), "en") for i in range(n)]
+    d = documents(tmp_path, spark, near + [(" ".join(w), "de")] * n + [(" ".join(w), None)] * 3)
+    got = [(r.a, r.b, r.jaccard) for r in entry.queries()["lsh_pairs"](spark, d).collect()]
+    assert len(got) == len({x[:2] for x in got}) == n * (n - 1)
+    assert all(a < b and (j == pytest.approx(115 / 117) if b < n else a >= n and b < 2 * n and j == 1) for a, b, j in got)
