@@ -186,9 +186,14 @@ def signatures(h: np.ndarray, off: np.ndarray, bits: int = SIG_BITS, low: int =
     return np.concatenate(sigs), np.concatenate(owner), slack
 
 
+def cells_of(n: int) -> int:
+    """Cells of a sketch of ``n`` hashes, as a power of two."""
+    return max(4, (2 * n).bit_length())
+
+
 def sketch(h: np.ndarray) -> bytes:
     """Which of 2**c equal cells of the hash range a set touches, two to four cells for each member."""
-    c = max(4, int(2 * len(h)).bit_length())
+    c = cells_of(len(h))
     bits = np.zeros(1 << c, bool)
     bits[(h >> np.uint64(64 - c)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
@@ -466,54 +471,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, source) -> DataFrame:
     return written(p.select("a", "b", "ta", "tb").transform(mapped(_linked, "a long, b long")), "partenum-links")
 
 
-def _blocks(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """One block of a crowd: keys, components, sizes and sorted hashes of its sets."""
-    t = t.combine_chunks()
-    hashes = [x.as_py() for x in t.column("hashes")]
-    o = np.concatenate([[0], np.cumsum([len(x) // 8 for x in hashes])])
-    raw = lambda x: x.astype("<i8").tobytes()
-    row = [*(k.as_py() for k in key), raw(t.column("key").to_numpy()), raw(t.column("comp").to_numpy()), raw(o), b"".join(hashes)]
-    kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 4
-    return pa.Table.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["crowd", "cells", "block", "keys", "comps", "off", "hashes"])
-
-
-def _crowd_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between two blocks' sets that are not yet in one component, thinned to a forest."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            x, y = r["x"], r["y"]
-            same = x["block"] == y["block"] and x["cells"] == y["cells"]
-            ka, kb = (np.frombuffer(v["keys"], "<i8") for v in (x, y))
-            oa, ob = (np.frombuffer(v["off"], "<i8") for v in (x, y))
-            ha, hb = (np.frombuffer(v["hashes"], "<u8") for v in (x, y))
-            size = 1 << (x["cells"] - 3)
-            bits = lambda h, o: np.concatenate([folded(np.frombuffer(sketch(h[o[i] : o[i + 1]]), np.uint8)[None, :], size) for i in range(len(o) - 1)])
-            sa, sb = bits(ha, oa), bits(hb, ob)
-            na, nb = np.diff(oa), np.diff(ob)
-            comps, label = np.unique(np.concatenate([np.frombuffer(x["comps"], "<i8"), np.frombuffer(y["comps"], "<i8")]), return_inverse=True)
-            la, lb = label[: len(ka)].copy(), label[len(ka) :].copy()
-            fa, fb = [], []
-            for i in range(len(ka)):
-                ok = (lb != la[i]) & (4 * np.minimum(nb, na[i]) >= 3 * np.maximum(nb, na[i]))
-                if same:
-                    ok[: i + 1] = False
-                j = np.flatnonzero(ok)
-                j = j[7 * np.bitwise_count(sb[j] ^ sa[i]).sum(1, dtype=np.int64) <= na[i] + nb[j]]
-                mine = ha[oa[i] : oa[i + 1]]
-                for q in j.tolist():
-                    if lb[q] == la[i]:
-                        continue
-                    both = len(np.intersect1d(mine, hb[ob[q] : ob[q + 1]], assume_unique=True))
-                    if 100 * both >= 75 * (na[i] + nb[q] - both):
-                        fa.append(ka[i])
-                        fb.append(kb[q])
-                        old, new = lb[q], la[i]
-                        la[la == old] = new
-                        lb[lb == old] = new
-            yield pa.RecordBatch.from_arrays([pa.array(fa, pa.int64()), pa.array(fb, pa.int64())], ["a", "b"])
-
-
-BLOCK = 1024
+def _crowd_links(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """Links between the sets of two blocks of a crowd (or within one) that are not yet in one component, thinned to a forest."""
+    t = t.sort_by("n").combine_chunks()
+    ks, n, block = (t.column(c).to_numpy() for c in ("key", "n", "block"))
+    comps = t.column("comp").to_numpy()
+    label = np.unique(comps, return_inverse=True)[1]
+    hs = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("hashes").combine_chunks()]
+    two = key[1].as_py() != key[2].as_py()
+    cells = np.array([cells_of(int(x)) for x in n])
+    upto = np.searchsorted(n, n * 4 // 3, "right")  # partners of a set are larger than it by a third at most
+    fa, fb = [], []
+    for c in np.unique(cells).tolist():
+        lo, hi, end = np.searchsorted(cells, [c, c + 1, c + 2]).tolist()
+        bits = np.concatenate([folded(np.frombuffer(sketch(h), np.uint8)[None, :], 1 << (c - 3)) for h in hs[lo:end]])
+        for i in range(lo, hi):
+            j = np.arange(i + 1, upto[i])
+            j = j[(label[j] != label[i]) & (block[j] != block[i])] if two else j[label[j] != label[i]]
+            if not len(j):
+                continue
+            j = j[7 * np.bitwise_count(bits[j - lo] ^ bits[i - lo]).sum(1, dtype=np.int64) <= n[i] + n[j]]
+            for q in j.tolist():
+                if label[q] == label[i]:
+                    continue
+                both = len(np.intersect1d(hs[i], hs[q], assume_unique=True))
+                if 100 * both >= 75 * (n[i] + n[q] - both):
+                    fa.append(ks[i])
+                    fb.append(ks[q])
+                    label[label == label[q]] = label[i]
+    del hs
+    return pa.table({"a": pa.array(fa, pa.int64()), "b": pa.array(fb, pa.int64())})
+
+
+def _linked_block(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    out = _crowd_links(key, t)
+    give_back()
+    return out
+
+
+#: Most sets of a block, and most bytes of their texts (their hashes are one and a half times that, four times at most).
+BLOCK, BLOCK_TEXT = 4096, 8 << 20
 #: Cells in which features are counted: 8 MB, cut into blocks to add up.
 SLOT_BITS, SLOT_BLOCKS = 20, 64
 
@@ -592,37 +589,51 @@ def _held_apart(held: DataFrame, links: DataFrame, comp: DataFrame, sets: DataFr
     comp = written(components(links), "partenum-comp")
     large = _rooted(rows.where(F.col("c") > CROWD).select("f", "key"), comp, "key", "root")
     left = large.join(mixed(large).select("f"), "f", "left_semi").select("f", "key")
-    alike = left.groupBy("f").agg(F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("x"), F.count("*").alias("c")).groupBy("x", "c").agg(F.min("f").alias("f")).select("f")
-    left = written(left.join(alike, "f", "left_semi"), "partenum-crowd")
+    left = written(left.withColumnRenamed("f", "crowd"), "partenum-crowd")
     if not left.isEmpty():
-        links = links.union(_crowds(left.withColumnRenamed("f", "crowd"), comp, texts))
+        links = links.union(_crowds(left, comp, texts))
     return links
 
 
+def _merged(crowds: DataFrame, seed: int) -> DataFrame:
+    """Crowds ``(crowd, key)``, those with the same least member (by a hash) made one where that takes no more comparisons.
+
+    The features of a group of near copies are a crowd each, of nearly the same
+    sets; sets of a merged crowd are sent and compared once.  All pairs of the
+    crowds given stay together in one of those returned.
+    """
+    own = crowds.groupBy("crowd").agg(F.min(F.xxhash64("key", F.lit(seed))).alias("lead"), F.count("*").alias("c"))
+    every = crowds.join(own, "crowd").select("crowd", "key", "lead", "c")
+    apart = own.groupBy("lead").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("pairs"))
+    once = every.select("lead", "key").distinct().groupBy("lead").agg(F.count("*").cast("double").alias("u"))
+    good = apart.join(once, "lead").where("u * u <= pairs").select("lead", F.lit(True).alias("good"))
+    named = every.join(good, "lead", "left").select(F.when(F.col("good"), F.col("lead")).otherwise(F.col("crowd")).alias("crowd"), "key")
+    return written(named.distinct(), "partenum-crowd")
+
+
 def _crowds(keys: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
     """Links within crowds ``(crowd, key)`` that hold several components still, compared block against block.
 
     Comparing takes a few nanoseconds a pair (a popcount over sketches) and no
-    pair becomes a row; rows are blocks.  Only sets all of whose rare features
-    are crowded come here.
+    pair becomes a row.  A set's hashes are sent once for each block of its crowd,
+    and most crowds have one.  Only sets all of whose rare features are crowded come here.
     """
     spark = keys.sparkSession
-    size = keys.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    keys = _rooted(keys, comp, "key", "comp").join(size, "crowd").select("key", "comp", "crowd", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block"))
-    own = texts.transform(mapped(_hashed, "key long, cells int, hashes binary")).join(keys, "key")
-    blocks = written(own.groupBy("crowd", "cells", "block").applyInArrow(_blocks, "crowd long, cells int, block int, keys binary, comps binary, off binary, hashes binary"), "partenum-blocks")
-    side = lambda k: blocks.select("crowd", F.struct("cells", "block", "keys", "comps", "off", "hashes").alias(k))
-    met = side("x").join(side("y"), "crowd").where("(x.cells = y.cells and x.block <= y.block) or x.cells + 1 = y.cells")
-    met = met.repartition(partitions(spark), "crowd", "x.cells", "x.block", "y.cells", "y.block")
-    return written(met.select("x", "y").transform(mapped(_crowd_links, "a long, b long")), "partenum-links")
+    for seed in range(2):
+        keys = _merged(keys, seed)
+    size = keys.join(texts.select("key", F.octet_length("text").alias("bytes")), "key").groupBy("crowd").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_TEXT)).alias("blocks"))
+    dealt = _rooted(keys, comp, "key", "comp").join(size, "crowd").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    dealt = dealt.select("crowd", "key", "comp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("crowd", "key", "comp", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    sent = dealt.join(texts.transform(mapped(_hashed, "key long, n long, hashes binary")), "key").repartition(partitions(spark), "crowd", "x", "y")
+    return written(sent.groupBy("crowd", "x", "y").applyInArrow(_linked_block, "a long, b long"), "partenum-links")
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, cells: of its sketch as a power of two, sorted hashes) of (key, text)."""
+    """(key, n: how many, sorted hashes) of (key, text)."""
     for part, buf, off in chunks(batches, "text"):
         h, o = shingles(Words(buf, off, SPACED), K)
-        cells = [max(4, (2 * int(n)).bit_length()) for n in np.diff(o)]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.int32()), pa.array([h[x:y].astype("<u8").tobytes() for x, y in zip(o[:-1], o[1:])], pa.binary())], ["key", "cells", "hashes"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(o)), pa.array([h[x:y].astype("<u8").tobytes() for x, y in zip(o[:-1], o[1:])], pa.binary())], ["key", "n", "hashes"])
 
 
 def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -429,6 +429,40 @@ def test_signatures_of_a_bucket_stay_as_long():
         assert (1 << partenum.sig_bits(buckets)) // buckets >= 1 << 33 and partenum.sig_bits(buckets) <= 52
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for a shuffle."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_crowds_of_the_same_sets_are_sent_once(spark, monkeypatch, block):
+    monkeypatch.setattr(partenum, "BLOCK", block)
+    r = random.Random(5)
+    texts, crowds = [], set()
+    for g in range(4):
+        base = [f"g{g}w{r.randrange(10**6)}" for _ in range(300)]
+        kin = [base if i % 2 else base[:150] + [f"x{r.randrange(10**6)}" for _ in range(110 + 40 * (i % 3))] for i in range(40)]
+        for i, w in enumerate(kin):
+            w = list(w)
+            for _ in range(i % 9):
+                w[r.randrange(len(w))] = f"y{r.randrange(10**6)}"
+            texts.append((40 * g + i, " ".join(w)))
+        for f in range(50):  # one feature of the group after the other, which a few of the sets don't have
+            crowds |= {(1000 * g + f, 40 * g + i) for i in range(40) if r.random() < 0.95}
+    crowds |= {(9000, i) for i in range(0, 160, 3)}  # and one across the groups
+    keys, docs = spark.createDataFrame(sorted(crowds), "crowd long, key long"), spark.createDataFrame(texts, "key long, text string")
+    comp = spark.createDataFrame([(3, 1)], "node long, root long")
+    before = shuffled(spark)
+    got = partenum._crowds(keys, comp, docs).collect()
+    sent = shuffled(spark) - before
+    roots = {x.node: x.root for x in common.components(spark.createDataFrame([(3, 1), *((x.a, x.b) for x in got)], "a long, b long")).collect()}
+    assert {i: roots.get(i, i) for i, _ in texts} == {i: c for i, (_, c) in brute_components(dict(texts)).items()}
+    assert 0 < sent < 3 * 8 * sum(len(t.split()) for _, t in texts) * (4 if block == 16 else 1)
+
+
 @pytest.mark.parametrize("crowd,local", [(partenum.CROWD, partenum.LOCAL), (3, 2)])
 def test_jaccard_join_in_rounds(spark, monkeypatch, crowd, local):
     monkeypatch.setattr(partenum, "CROWD", crowd)
